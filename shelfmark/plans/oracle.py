@@ -1,6 +1,8 @@
 """SQL for DuckDB that gives the rows of the queries, written independently of the operators."""
 
-SQL: dict[str, str] = {}
+from shelfmark.plans.oracle_catalogue import SQL as catalogue_sql
+
+SQL: dict[str, str] = {**catalogue_sql}
 
 _CHANGES = r"""
 select *, regexp_replace(lower(trim(event_name)), '^s3:', '') as kind,

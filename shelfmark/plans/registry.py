@@ -1,5 +1,5 @@
 """All queries of the core by name."""
 
-from shelfmark.plans import problems
+from shelfmark.plans import catalogue, problems
 
-QUERIES = {**problems.QUERIES}
+QUERIES = {**catalogue.QUERIES, **problems.QUERIES}
