@@ -42,6 +42,9 @@ SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<media
 
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 
+#: The Latin letter that names a look-alike's class.
+TO_CLASS = {ord(x): latin for latin, others in LOOKALIKES.items() for x in others}
+
 
 @lru_cache(maxsize=1)
 def normal_forms() -> dict[int, str | None]:
@@ -56,7 +59,7 @@ def normal_forms() -> dict[int, str | None]:
             table[n] = "\n"
         elif kind == "Cf" and ch not in SEEN_FORMATS:
             table[n] = None
-        elif form.startswith(SAME_LOOK):
+        elif form.startswith(SAME_LOOK) and n not in TO_CLASS:
             table[n] = unicodedata.normalize("NFKD", ch)
     for first, last in IGNORABLE_RANGES:
         table.update(dict.fromkeys(range(first, last + 1)))
@@ -77,7 +80,6 @@ def script_of(ch: str) -> str:
     return next((s for s in SCRIPTS if name.startswith(s)), "")
 
 
-TO_CLASS = {ord(x): latin for latin, others in LOOKALIKES.items() for x in others}
 MEMBERS = {latin: {script_of(x): x for x in latin + others} for latin, others in LOOKALIKES.items()}
 TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 MARKS = re.compile("[̀-ͯ]+")
