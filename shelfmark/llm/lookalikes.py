@@ -43,34 +43,44 @@ SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<media
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 
 #: The Latin letter that names a look-alike's class.
-TO_CLASS = {ord(x): latin for latin, others in LOOKALIKES.items() for x in others}
+TO_CLASS = {x: latin for latin, others in LOOKALIKES.items() for x in others}
 
 
 @lru_cache(maxsize=1)
-def normal_forms() -> dict[int, str | None]:
-    """For str.translate: what each character becomes, by Unicode's own properties; None deletes it."""
-    table: dict[int, str | None] = {}
+def normal_forms() -> dict[str, str]:
+    """What each character becomes, by Unicode's own properties; nothing if it is ignorable."""
+    table: dict[str, str] = {}
     for n in range(0x20000):
         ch = chr(n)
         kind, form = unicodedata.category(ch), unicodedata.decomposition(ch)
         if kind == "Zs" or ch == "\t":
-            table[n] = " "
+            table[ch] = " "
         elif kind in ("Zl", "Zp") or ch in "\r\x0b\x0c\x85":
-            table[n] = "\n"
+            table[ch] = "\n"
         elif kind == "Cf" and ch not in SEEN_FORMATS:
-            table[n] = None
-        elif form.startswith(SAME_LOOK) and n not in TO_CLASS:
-            table[n] = unicodedata.normalize("NFKD", ch)
+            table[ch] = ""
+        elif form.startswith(SAME_LOOK) and ch not in TO_CLASS:
+            table[ch] = unicodedata.normalize("NFKD", ch)
     for first, last in IGNORABLE_RANGES:
-        table.update(dict.fromkeys(range(first, last + 1)))
+        table.update((chr(n), "") for n in range(first, last + 1))
     return table
 
 
+def swapped(text: str, table: dict[str, str]) -> str:
+    """The text with the table's characters replaced: a few distinct ones by a quick search each, many in one slow pass."""
+    found = [c for c in set(text) if c in table]
+    if len(found) > 64:
+        return text.translate({ord(c): table[c] for c in found})
+    for c in found:
+        text = text.replace(c, table[c])
+    return text
+
+
 def normalise(text: str) -> str:
     """Compatibility forms, kinds of space and line breaks made plain, ignorable characters deleted, accents apart."""
     if text.isascii():
         return text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ") if "\r" in text or "\t" in text else text
-    return unicodedata.normalize("NFD", text.replace("\r\n", "\n").translate(normal_forms()))
+    return unicodedata.normalize("NFD", swapped(text.replace("\r\n", "\n"), normal_forms()))
 
 
 @lru_cache(maxsize=4096)
@@ -100,7 +110,7 @@ def counted_pairs(texts: Iterable[str]) -> Counter:
         bare = MARKS.sub("", word)
         scripts = {script_of(c) for c in bare}
         if len(scripts) == 1 and (script := scripts.pop()):
-            script += "" if any(c not in MEMBERS and ord(c) not in TO_CLASS for c in bare) else "?"
+            script += "" if any(c not in MEMBERS and c not in TO_CLASS for c in bare) else "?"
             for a, b in zip("^" + bare, bare + "$"):
                 if _basic(a) and _basic(b):
                     pairs[script, a + b] += n
@@ -207,8 +217,14 @@ class Spelling:
 
     def canonical(self, text: str) -> str:
         """The one form of all texts that look like this one."""
-        classes = normalise(text).translate(TO_CLASS)
-        return unicodedata.normalize("NFC", TOKEN.sub(lambda m: self.token(m[0]), classes))
+        classes = normalise(text)
+        if not classes.isascii():
+            classes = swapped(classes, TO_CLASS)
+        # most tokens are their own form; only texts that hold others are rewritten
+        forms = {t: f for t in set(TOKEN.findall(classes)) if (f := self.token(t)) != t}
+        if forms:
+            classes = TOKEN.sub(lambda m: forms.get(m[0], m[0]), classes)
+        return classes if classes.isascii() else unicodedata.normalize("NFC", classes)
 
 
 def canonical_texts(documents: DataFrame, item: str, text: str, model: Spelling | None = None) -> DataFrame:
