@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import Optional
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from shelfmark.llm.lookalikes import Spelling
 from shelfmark.session import materialise
@@ -22,30 +25,46 @@ def words_of(text: str, model: Spelling) -> list[str]:
     return WORD.findall(model.canonical(text).casefold())
 
 
-def winnow(hashes, k: int, window: int):
+class WordHashes(dict):
+    """64-bit hashes of words, each made once; emptied between texts when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxh64_intdigest(word)
+        return found
+
+
+def winnow(hashes: np.ndarray, k: int, window: int, text: Optional[np.ndarray] = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, fingerprints): the least k-gram hash of each window of k-grams, the rightmost of equals; hashes are of words.
 
     Any run of k + window - 1 words has a window of its own, so two texts that share such a run share
-    the least hash of that window.
+    the least hash of that window. hashes may hold many texts one after the other, with text saying
+    which each word is of; no window reaches from one into the next.
     """
-    import numpy as np
-
-    count = len(hashes) - k + 1
-    if count < window:
+    span, count = k + window - 1, len(hashes) - k - window + 2
+    if count <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        grams = np.zeros(count, np.uint64)
+        grams = np.zeros(len(hashes) - k + 1, np.uint64)
         for j in range(k):
-            grams = grams * np.uint64(SPREAD) + hashes[j : j + count]
+            grams = grams * np.uint64(SPREAD) + hashes[j : j + len(grams)]
         grams ^= grams >> np.uint64(31)
         grams *= np.uint64(MIX)
         grams ^= grams >> np.uint64(29)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    least = window - 1 - views[:, ::-1].argmin(axis=1)
-    places = np.unique(np.arange(len(views)) + least)
+    places, least = np.arange(count), grams[:count]
+    for j in range(1, window):
+        other = grams[j : j + count]
+        lower = other <= least
+        least, places = np.where(lower, other, least), np.where(lower, np.arange(j, j + count), places)
+    if text is not None:
+        places = places[text[:count] == text[span - 1 : span - 1 + count]]
+    places = np.unique(places)
     return places, grams[places]
 
 
+#: Texts are winnowed together until they have about so many words.
+WORDS_AT_ONCE = 400_000
+
+
 def fingerprints(df: DataFrame, item: str, text: str, model: Spelling, span: int, k: int, only: list[int] | None = None) -> DataFrame:
     """(item, place, fingerprint, words): what winnowing keeps of each text, with the word hashes around it.
 
@@ -54,46 +73,50 @@ def fingerprints(df: DataFrame, item: str, text: str, model: Spelling, span: int
     a sorted list of the fingerprints that matter, where those are few enough to be sent to the tasks.
     """
     kind = df.schema[item].dataType.simpleString()
-    window, side = span - k + 1, span - k
+    side = span - k
+
+    def chunks(texts: list) -> Iterator[tuple[list[int], list[list[int]]]]:
+        known = WordHashes()
+        rows, held, size = [], [], 0
+        for row, t in enumerate(texts):
+            words = words_of(t, model) if t else ()
+            if len(words) < span:
+                continue
+            if len(known) > 1_000_000:
+                known.clear()
+            rows.append(row)
+            held.append(list(map(known.__getitem__, words)))
+            size += len(words)
+            if size >= WORDS_AT_ONCE:
+                yield rows, held
+                rows, held, size = [], [], 0
+        if rows:
+            yield rows, held
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         wanted = None if only is None else np.array(only, np.int64)
-        known: dict[str, int] = {}
         for batch in batches:
-            ids, places, prints, around = [], [], [], []
-            for row, text_ in enumerate(batch.column(1).to_pylist()):
-                if not text_:
-                    continue
-                words = words_of(text_, model)
-                if len(words) < span:
-                    continue
-                if len(known) > 1_000_000:
-                    known.clear()
-                hashes = np.empty(len(words), np.uint64)
-                for n, w in enumerate(words):
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxh64_intdigest(w)
-                    hashes[n] = h
-                at, grams = winnow(hashes, k, window)
+            for rows, held in chunks(batch.column(1).to_pylist()):
+                ends = np.cumsum([len(h) for h in held])
+                starts = np.concatenate([[0], ends[:-1]])
+                hashes = np.concatenate([np.array(h, np.uint64) for h in held])
+                text_of = np.repeat(np.arange(len(held)), ends - starts)
+                at, grams = winnow(hashes, k, span - k + 1, text_of)
                 grams = grams.view(np.int64)
                 if wanted is not None:
-                    hit = np.isin(grams, wanted)
+                    near = np.searchsorted(wanted, grams).clip(max=max(0, len(wanted) - 1))
+                    hit = wanted[near] == grams if len(wanted) else np.zeros(len(grams), bool)
                     at, grams = at[hit], grams[hit]
-                signed = hashes.view(np.int64)
-                for p, g in zip(at.tolist(), grams.tolist()):
-                    ids.append(row)
-                    places.append(p)
-                    prints.append(g)
-                    around.append([*[None] * max(0, side - p), *signed[max(0, p - side) : p + k + side].tolist(), *[None] * max(0, p + k + side - len(words))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(prints, pa.int64()), pa.array(around, pa.list_(pa.int64()))],
-                names=["item", "place", "fingerprint", "words"],
-            )
+                for first in range(0, len(at), 100_000):
+                    place, own = at[first : first + 100_000], text_of[at[first : first + 100_000]]
+                    around = place[:, None] + np.arange(-side, k + side)
+                    inside = (around >= starts[own][:, None]) & (around < ends[own][:, None])
+                    values = pa.array(hashes.view(np.int64)[around.clip(0, len(hashes) - 1)].ravel(), mask=~inside.ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1, dtype=np.int32) * (k + 2 * side)), values)
+                    ids = batch.column(0).take(pa.array(np.array(rows)[own]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array((place - starts[own]).astype(np.int32)), pa.array(grams[first : first + 100_000]), lists], names=["item", "place", "fingerprint", "words"])
 
     return df.select(item, text).dropna().mapInArrow(run, f"item {kind}, place int, fingerprint long, words array<long>")
 
