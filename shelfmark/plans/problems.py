@@ -99,8 +99,8 @@ def p5_found(spark: SparkSession, folder: str, share: float = 0.03) -> DataFrame
     A size that two halves of a content's rows carry alike is the smaller one.
     """
     groups = materialise(content_groups(spark, folder))
-    total = groups.agg(F.sum("n").alias("total"))
-    return groups.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("total") * share).select("content_hash", "size")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    return groups.filter(F.col("n") >= total * share).select("content_hash", "size")
 
 
 def p5_members(spark: SparkSession, folder: str) -> DataFrame:
