@@ -15,13 +15,15 @@ UNKNOWN_WORDS = ["unknown", "unspecified", "n/a", "na", "none", "null", "nil", "
 def canonical_uuid(c: Column) -> Column:
     """Lower-case hyphenated form of a UUID in any usual spelling; other text lower-cased and trimmed.
 
-    Case, white space, braces, quotes, hyphens and a urn:uuid: prefix are not told apart.
+    Case, white space, braces, quotes, hyphens and a urn:uuid: prefix are not told apart. A text in the
+    usual form is only looked at once.
     """
     text = F.lower(F.regexp_replace(c, r'[\s{}"()]', ""))
     text = F.regexp_replace(text, "^urn:uuid:", "")
     digits = F.replace(text, F.lit("-"), F.lit(""))
     hyphenated = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), hyphenated).otherwise(text)
+    usual = c.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z")
+    return F.when(c.isNull() | usual, c).when(digits.rlike("^[0-9a-f]{32}$"), hyphenated).otherwise(text)
 
 
 def plain_key(c: Column) -> Column:
@@ -62,12 +64,13 @@ def ns_to_timestamp(c: Column) -> Column:
     return F.timestamp_micros(((c - rest) / second).cast("long") * 10**6 + (rest / 1000).cast("long"))
 
 
-def digest32(c: Column) -> Column:
-    """The 32 bytes that a SHA-256 text denotes, or null.
+def _usual_digest(c: Column) -> Column:
+    """Whether a text is 32 bytes in padded base64, with no stray bits in its last letter."""
+    return c.rlike(r"^[A-Za-z0-9+/]{42}[AEIMQUYcgkosw048]=\z")
 
-    Hex in any case, base64 in either alphabet, padded or not, with a sha256 label, quotes or
-    white space around it, are one digest.
-    """
+
+def _odd_digest(c: Column) -> Column:
+    """The 32 bytes of a digest in another spelling, or null."""
     bare = F.regexp_replace(c, r"""[\s"']""", "")
     unlabelled = F.regexp_replace(bare, "(?i)^sha-?256[:=-]", "")
     text = F.when(F.length(unlabelled).isin(43, 44, 64), unlabelled).otherwise(bare)
@@ -79,6 +82,20 @@ def digest32(c: Column) -> Column:
     )
 
 
+def digest32(c: Column) -> Column:
+    """The 32 bytes that a SHA-256 text denotes, or null.
+
+    Hex in any case, base64 in either alphabet, padded or not, with a sha256 label, quotes or
+    white space around it, are one digest.
+    """
+    return F.when(_usual_digest(c), F.unbase64(c)).when(c.isNotNull(), _odd_digest(c))
+
+
+def digest_text(c: Column) -> Column:
+    """The padded base64 of what digest32 gives; a text in that form is only looked at once."""
+    return F.when(_usual_digest(c), c).when(c.isNotNull(), F.base64(_odd_digest(c)))
+
+
 def known_text(c: Column) -> Column:
     """The text if it says anything: not null, blank, bare quotes, a word for unknown or the default type."""
     bare = F.lower(F.regexp_replace(c, r"""[\s"']""", ""))

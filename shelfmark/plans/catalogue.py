@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import digests as D
 from shelfmark.functions import scalars as S
-from shelfmark.functions.values import canonical_uuid, digest32, joined_path, plain_key
+from shelfmark.functions.values import canonical_uuid, digest_text, joined_path, plain_key
 from shelfmark.operators import catalogue as C
 from shelfmark.operators import duplicates as U
 from shelfmark.operators import integrity as I
@@ -29,7 +29,7 @@ NOW_NS = 1_760_000_000_000_000_000
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """objects, each once, with SHA-256 digests in one spelling."""
     once = table(spark, folder, "objects").dropDuplicates(["id"])
-    return once.withColumn("checksum_sha256", F.base64(digest32(F.col("checksum_sha256"))))
+    return once.withColumn("checksum_sha256", digest_text(F.col("checksum_sha256")))
 
 
 def directories(spark: SparkSession, folder: str) -> DataFrame:

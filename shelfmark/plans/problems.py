@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.values import canonical_uuid, digest32, epoch_ns, joined_path, ns_to_timestamp, plain_key
+from shelfmark.functions.values import canonical_uuid, digest_text, epoch_ns, joined_path, ns_to_timestamp, plain_key
 from shelfmark.operators.references import Reference, orphan_report, orphans
 from shelfmark.operators.replay import Feed, replay, watermark
 from shelfmark.operators.skew import fragment_counts, fragment_join
@@ -82,7 +82,7 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
     """(content_hash, size, id, key) of objects whose content is known, the hash as padded base64."""
-    return table(spark, folder, "objects").select(F.base64(digest32(F.col("checksum_sha256"))).alias("content_hash"), "size", "id", "key").filter("content_hash is not null")
+    return table(spark, folder, "objects").select(digest_text(F.col("checksum_sha256")).alias("content_hash"), "size", "id", "key").filter("content_hash is not null")
 
 
 def content_groups(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,12 +46,12 @@ def test_stream_digests(tmp_path):
 def test_spellings(spark):
     digest = bytes(range(32))
     b64, hexed = base64.b64encode(digest).decode(), digest.hex()
-    for text in (b64, b64.rstrip("="), base64.urlsafe_b64encode(digest).decode(), hexed, hexed.upper(), f"sha256:{hexed}", f" {b64}\n", f'"{b64}"'):
-        assert bytes(one(spark, text, V.digest32)) == digest, text
+    for text in (b64, b64.rstrip("="), base64.urlsafe_b64encode(digest).decode(), hexed, hexed.upper(), f"sha256:{hexed}", f" {b64}\n", f"{b64}\n", f'"{b64}"'):
+        assert bytes(one(spark, text, V.digest32)) == digest and one(spark, text, V.digest_text) == b64, text
     for text in ("", "abc", None, "x" * 64, "!" * 44):
         assert one(spark, text, V.digest32) is None
     uid = "0123abcd-4567-89ab-cdef-0123456789ab"
-    for text in (uid, uid.upper(), "{" + uid + "}", uid.replace("-", ""), f" {uid} ", f"urn:uuid:{uid}"):
+    for text in (uid, uid.upper(), "{" + uid + "}", uid.replace("-", ""), f" {uid} ", f"{uid}\n", f"urn:uuid:{uid}"):
         assert one(spark, text, V.canonical_uuid) == uid
     assert one(spark, " Odd ", V.canonical_uuid) == "odd" and one(spark, None, V.canonical_uuid) is None
 
