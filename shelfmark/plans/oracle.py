@@ -1,8 +1,9 @@
 """SQL for DuckDB that gives the rows of the queries, written independently of the operators."""
 
 from shelfmark.plans.oracle_catalogue import SQL as catalogue_sql
+from shelfmark.plans.oracle_objects import SQL as objects_sql
 
-SQL: dict[str, str] = {**catalogue_sql}
+SQL: dict[str, str] = {**catalogue_sql, **objects_sql}
 
 _CHANGES = r"""
 select *, regexp_replace(lower(trim(event_name)), '^s3:', '') as kind,

@@ -5,12 +5,12 @@ from shelfmark.plans.catalogue import NOW_NS
 
 SQL: dict[str, str] = {}
 
-_CAT = r"""
+CAT = r"""
 with bare as (select distinct on (id) *, regexp_replace(regexp_replace(checksum_sha256, '[\s"'']', '', 'g'), '^sha256:', '') as h from objects),
 cat as (select * replace (case when h is null then null when length(h) = 64 then base64(unhex(h)) else rtrim(replace(replace(h, '-', '+'), '_', '/'), '=') || '=' end as checksum_sha256) from bare),
 live as (select distinct on (bucket, prefix) * from directories where deleted_at_ns is null)
 """
-_GROUPS = _CAT + """, grp as (
+_GROUPS = CAT + """, grp as (
   select bucket, checksum_sha256, count(*) as files, sum(coalesce(size, 0))::bigint as total_size, coalesce(max(size), 0) * (count(*) - 1) as wasted_size,
     coalesce(bool_or({match}), false) as matched
   from cat where checksum_sha256 is not null group by 1, 2 having count(*) > 1)
@@ -20,8 +20,8 @@ SQL["dup_groups"] = _GROUPS.format(match="true") + "select bucket, checksum_sha2
 SQL["dup_key_contains"] = _GROUPS.format(match="key ilike '%REPORT%.%'") + "select bucket, checksum_sha256, files, total_size, wasted_size from grp where matched"
 SQL["dup_key_depth"] = _GROUPS.format(match="key ilike '%scan_%' and length(key) - length(replace(key, '/', '')) <= 3") + "select bucket, checksum_sha256, files, total_size, wasted_size from grp where matched"
 SQL["dup_members"] = _GROUPS.format(match="true") + "select c.bucket, c.checksum_sha256, c.id, c.key from cat c join grp using (bucket, checksum_sha256)"
-SQL["dup_first_size"] = _CAT + "select bucket, checksum_sha256, arg_min_null(size, (prefix, name)) as size from cat where checksum_sha256 is not null group by all"
-_CROSS = _CAT + """, grp as (
+SQL["dup_first_size"] = CAT + "select bucket, checksum_sha256, arg_min_null(size, (prefix, name)) as size from cat where checksum_sha256 is not null group by all"
+_CROSS = CAT + """, grp as (
   select checksum_sha256, count(*) as files, sum(coalesce(size, 0))::bigint as total_size, count(distinct bucket) as buckets
   from cat where checksum_sha256 is not null group by 1 having count(*) > 1)
 """
@@ -36,17 +36,17 @@ select bucket, count(*) as files, sum(coalesce(size, 0))::bigint as total_size,
 from cat c group by bucket
 """
 
-_HASHES = """
+HASHES = """
   select bucket, prefix, case when bool_and(checksum_sha256 is not null) filter (where not junk) and count(*) filter (where not junk) > 0
       then sha256(string_agg(name || ':' || checksum_sha256 || chr(10), '' order by name) filter (where not junk)) end as dir_hash,
     (count(*) filter (where not junk))::int as file_count, coalesce(sum(size) filter (where not junk), 0)::bigint as total_size
   from (select *, name in ('.DS_Store', 'Thumbs.db', 'desktop.ini') as junk from {files} where prefix <> '') group by 1, 2
 """
-SQL["dir_hashes"] = _CAT + _HASHES.format(files="cat")
+SQL["dir_hashes"] = CAT + HASHES.format(files="cat")
 _ORDERS = """
 with lines as (select l_orderkey as o, l_linenumber as n, min(l_returnflag || l_linestatus) as c from lineitem group by 1, 2),
 files as (select 'orders' as bucket, 'o' || lpad(o::varchar, 8, '0') || '/' as prefix, 'line_' || n || '.txt' as name, octet_length(encode(c))::bigint as size, base64(unhex(sha256(c))) as checksum_sha256 from lines),
-dirs as (""" + _HASHES.format(files="files") + """),
+dirs as (""" + HASHES.format(files="files") + """),
 grp as (select bucket, dir_hash, count(*) as directories, min(file_count) as file_count, sum(total_size)::bigint as total_size, bool_or(prefix ilike 'O0000_%' and length(prefix) - length(replace(prefix, '/', '')) <= 1) as m
   from dirs where dir_hash is not null and file_count >= {least} group by 1, 2 having count(*) > 1)
 """
@@ -55,7 +55,7 @@ SQL["dup_dirs_members"] = _ORDERS.format(least=1) + "select bucket, prefix, dir_
 SQL["dup_dirs_prefix"] = _ORDERS.format(least=1) + "select bucket, dir_hash, directories, file_count, total_size from grp where m"
 SQL["dup_dirs_min_files"] = _ORDERS.format(least=3) + "select bucket, dir_hash, directories, file_count, total_size from grp"
 SQL["dup_dirs_page"] = _ORDERS.format(least=1) + "select dir_hash, directories, file_count, total_size from grp where dir_hash > '4' order by dir_hash limit 100"
-_COMPARE = _CAT + """, l as (select bucket, regexp_replace(key, '^[^/]*/', '') as path, min(checksum_sha256) as h from cat where starts_with(key, 'archive/') group by 1, 2),
+_COMPARE = CAT + """, l as (select bucket, regexp_replace(key, '^[^/]*/', '') as path, min(checksum_sha256) as h from cat where starts_with(key, 'archive/') group by 1, 2),
 r as (select bucket, regexp_replace(key, '^[^/]*/', '') as path, min(checksum_sha256) as h from cat where starts_with(key, 'exports/') group by 1, 2),
 cmp as (select coalesce(l.bucket, r.bucket) as bucket, coalesce(l.path, r.path) as path,
     case when r.path is null then 'only_in_left' when l.path is null then 'only_in_right' when l.h is not distinct from r.h then 'identical' else 'modified' end as status, l.h as left_hash, r.h as right_hash
@@ -67,17 +67,17 @@ select bucket, count(*) filter (where status = 'identical') as files_identical,
   count(*) filter (where status = 'only_in_right') as files_only_in_right, count(*) filter (where status = 'modified') as files_modified, bool_and(status = 'identical') as identical
 from cmp group by 1
 """
-SQL["compare_buckets"] = _CAT + """
+SQL["compare_buckets"] = CAT + """
 select coalesce(l.name, r.name) as name, case when r.name is null then 'only_in_left' when l.name is null then 'only_in_right' when l.h is not distinct from r.h then 'identical' else 'modified' end as status, l.h as left_hash, r.h as right_hash
 from (select name, min(checksum_sha256) as h from cat where bucket = 'field-notes' group by 1) l
 full join (select name, min(checksum_sha256) as h from cat where bucket = 'scan-archive' group by 1) r on l.name = r.name
 """
 
-SQL["list_flat"] = _CAT + "select bucket, id, key from cat order by prefix, name limit 1000"
-SQL["list_prefix"] = _CAT + "select bucket, id, key from cat where starts_with(key, 'archive/de') order by prefix, name limit 1000"
-SQL["list_page"] = _CAT + "select bucket, id, key from cat where (prefix, name) > ('devices/h', 'm') order by prefix, name limit 1000"
-SQL["list_keys"] = _CAT + "select bucket, key from cat where starts_with(key, 'staging/')"
-_ROLL = _CAT + """, rest as (select key, size, substr(key, {n} + 1) as r from cat where starts_with(key, '{p}')),
+SQL["list_flat"] = CAT + "select bucket, id, key from cat order by prefix, name limit 1000"
+SQL["list_prefix"] = CAT + "select bucket, id, key from cat where starts_with(key, 'archive/de') order by prefix, name limit 1000"
+SQL["list_page"] = CAT + "select bucket, id, key from cat where (prefix, name) > ('devices/h', 'm') order by prefix, name limit 1000"
+SQL["list_keys"] = CAT + "select bucket, key from cat where starts_with(key, 'staging/')"
+_ROLL = CAT + """, rest as (select key, size, substr(key, {n} + 1) as r from cat where starts_with(key, '{p}')),
 rolled as (select case when contains(r, '{d}') then 'prefix' else 'object' end as kind, case when contains(r, '{d}') then '{p}' || left(r, instr(r, '{d}') + length('{d}') - 1) else key end as entry,
   case when not contains(r, '{d}') then size end as size from rest),
 ent as (select kind, entry, max(size) as size from rolled group by 1, 2)
@@ -85,30 +85,30 @@ ent as (select kind, entry, max(size) as size from rolled group by 1, 2)
 SQL["list_delimiter"] = _ROLL.format(p="", n=0, d="/") + "select * from ent"
 SQL["list_delimiter_below"] = _ROLL.format(p="archive/", n=8, d="-0") + "select * from ent"
 SQL["list_entries_page"] = _ROLL.format(p="archive/", n=8, d="/") + ", later as (select * from ent where entry > 'archive/delta/' order by entry limit 51) select kind, entry, size, (select count(*) > 50 from later) as has_more from later order by entry limit 50"
-SQL["list_by_parent"] = _CAT + "select bucket, prefix, count(*) as files, min(name) as first_name from cat group by 1, 2"
-SQL["list_root"] = _CAT + "select bucket, id, key from cat where prefix = ''"
+SQL["list_by_parent"] = CAT + "select bucket, prefix, count(*) as files, min(name) as first_name from cat group by 1, 2"
+SQL["list_root"] = CAT + "select bucket, id, key from cat where prefix = ''"
 SQL["list_buckets"] = "select distinct bucket from objects"
 _EVENTS = r""", ev as (
   select distinct on (event_id) event_id, event_time, bucket, regexp_replace(lower(trim(event_name)), '^s3:', '') as kind, event_name, size, etag,
     ltrim(url_decode(replace(object_key, '+', ' ')), '/') as key, lower(object_id) as id from object_events)
 """
-_EXIST = _EVENTS + ", now_there as (select bucket, key from (select *, row_number() over (partition by bucket, key order by event_time desc, event_id desc) as r from ev where kind like 'objectcreated%' or kind like 'objectremoved%') where r = 1 and kind like 'objectcreated%')"
-SQL["get_objects"] = _CAT + _EXIST + "select c.bucket, c.key, c.id, c.size, c.scan_level from cat c join now_there using (bucket, key)"
-SQL["get_by_inode"] = _CAT + "select bucket, inode, device_id, min(key) as key from cat where inode is not null and device_id is not null group by 1, 2, 3"
+EXIST = _EVENTS + ", now_there as (select bucket, key from (select *, row_number() over (partition by bucket, key order by event_time desc, event_id desc) as r from ev where kind like 'objectcreated%' or kind like 'objectremoved%') where r = 1 and kind like 'objectcreated%')"
+SQL["get_objects"] = CAT + EXIST + "select c.bucket, c.key, c.id, c.size, c.scan_level from cat c join now_there using (bucket, key)"
+SQL["get_by_inode"] = CAT + "select bucket, inode, device_id, min(key) as key from cat where inode is not null and device_id is not null group by 1, 2, 3"
 
 SQL["count_objects"] = "select count(distinct id) as objects from objects"
-SQL["scan_status"] = _CAT + "select bucket, count(*) as files, count(*) filter (where scan_level >= 3) as complete, count(*) filter (where scan_level < 3) as pending, 100.0::double * count(*) filter (where scan_level >= 3) / count(*) as percent from cat group by 1"
-SQL["remaining"] = _CAT + "select bucket, count(*) as files, coalesce(sum(size), 0)::bigint as bytes from cat where scan_level < 3 group by 1"
-SQL["at_level_3"] = _CAT + "select bucket, id, key from cat where scan_level >= 3"
-SQL["below_level_page"] = _CAT + "select bucket, id, key from cat where scan_level < 3 and (prefix, name) > ('devices/', '') order by prefix, name limit 1000"
-SQL["byte_budget"] = _CAT + """, run as (select bucket, key, coalesce(size, 0) as size, sum(coalesce(size, 0)) over w as running, row_number() over w as n from cat where scan_level < 3 window w as (partition by bucket order by prefix, name rows unbounded preceding))
+SQL["scan_status"] = CAT + "select bucket, count(*) as files, count(*) filter (where scan_level >= 3) as complete, count(*) filter (where scan_level < 3) as pending, 100.0::double * count(*) filter (where scan_level >= 3) / count(*) as percent from cat group by 1"
+SQL["remaining"] = CAT + "select bucket, count(*) as files, coalesce(sum(size), 0)::bigint as bytes from cat where scan_level < 3 group by 1"
+SQL["at_level_3"] = CAT + "select bucket, id, key from cat where scan_level >= 3"
+SQL["below_level_page"] = CAT + "select bucket, id, key from cat where scan_level < 3 and (prefix, name) > ('devices/', '') order by prefix, name limit 1000"
+SQL["byte_budget"] = CAT + """, run as (select bucket, key, coalesce(size, 0) as size, sum(coalesce(size, 0)) over w as running, row_number() over w as n from cat where scan_level < 3 window w as (partition by bucket order by prefix, name rows unbounded preceding))
 select bucket, key, size, running::bigint as running from run where n <= 10000 and (running - size < 52428800 or n = 1)"""
-_PARTS = """
+PARTS = """
 with p as (select *, lower(regexp_replace(upload_id, '[^0-9A-Fa-f]', '', 'g')) as hex from parts where upload_id is not null),
 pp as (select * replace (hex[1:8] || '-' || hex[9:12] || '-' || hex[13:16] || '-' || hex[17:20] || '-' || hex[21:32] as upload_id) from p),
 cur as (select * from pp qualify row_number() over (partition by upload_id, part_number order by uploaded_at desc, id desc) = 1)
 """
-SQL["upload_throughput"] = _PARTS + """, folded as (
+SQL["upload_throughput"] = PARTS + """, folded as (
   select upload_id, list_reduce(list(size::double order by part_number), lambda a, r: r * 0.3 + a * (1 - 0.3)) as rate from cur where size is not null group by 1)
 select upload_id, round(rate, 3) as rate, least(floor(rate * 120)::bigint, 50 * 1024 * 1024 * 1024::bigint) as budget,
   case when rate <= 524288 then 32 when rate <= 1048576 then 16 when rate <= 8388608 then 8 else 1 end as readers from folded
@@ -143,31 +143,31 @@ from old o full join new n on o.bucket = n.bucket and o.key = n.key
 where o.key is null or n.key is null or concat_ws('/', o.size, o.mtime_ns) is distinct from concat_ws('/', n.size, n.mtime_ns)
 """
 _WRITTEN = _EVENTS + ", wr as (select *, epoch_us(event_time) * 1000 as created_at_ns from ev where kind like 'objectcreated%'), lastw as (select * from wr qualify row_number() over (partition by bucket, key order by event_time desc, event_id desc) = 1)"
-SQL["upsert_latest"] = _CAT + _WRITTEN + """
+SQL["upsert_latest"] = CAT + _WRITTEN + """
 select coalesce(c.bucket, w.bucket) as bucket, coalesce(c.key, w.key) as key, case when c.key is null then w.id else c.id end as id,
   case when c.key is null then w.created_at_ns else c.created_at_ns end as created_at_ns, case when w.key is null then c.size else w.size end as size, case when w.key is null then c.etag else w.etag end as etag
 from cat c full join lastw w on c.bucket = w.bucket and c.key = w.key
 """
 _GONE = _EVENTS + ", gone as (select distinct bucket, key from ev where kind like 'objectremoved%')"
-SQL["delete_anti"] = _CAT + _GONE + "select bucket, key, id from cat c where not exists (select 1 from gone g where g.bucket = c.bucket and g.key = c.key)"
-SQL["bulk_delete"] = _CAT + _GONE + "select bucket, key, exists (select 1 from cat c where g.bucket = c.bucket and g.key = c.key) as existed from gone g"
-SQL["rename_apply"] = _CAT + f""", mv as (select bucket, key, replace(key, '/tmp/', '/') as nk from cat where contains(prefix, '/tmp/')),
+SQL["delete_anti"] = CAT + _GONE + "select bucket, key, id from cat c where not exists (select 1 from gone g where g.bucket = c.bucket and g.key = c.key)"
+SQL["bulk_delete"] = CAT + _GONE + "select bucket, key, exists (select 1 from cat c where g.bucket = c.bucket and g.key = c.key) as existed from gone g"
+SQL["rename_apply"] = CAT + f""", mv as (select bucket, key, replace(key, '/tmp/', '/') as nk from cat where contains(prefix, '/tmp/')),
 ok as (select * from mv where not exists (select 1 from cat c where c.bucket = mv.bucket and c.key = mv.nk))
 select c.bucket, coalesce(nk, c.key) as key, case when nk is null then c.prefix else regexp_replace(nk, '[^/]*$', '') end as prefix, case when nk is null then c.name else regexp_extract(nk, '[^/]*$') end as name, id,
   case when nk is null then last_modified_ns else {NOW_NS} end as last_modified_ns
 from cat c left join ok on ok.bucket = c.bucket and ok.key = c.key
 """
-SQL["rename_outcomes"] = _CAT + _EXIST + r""", asked as (select distinct bucket, key as old_key, regexp_replace(key, '\.tmp$', '.part') as new_key from ev where kind = 'objectcreated:copy')
+SQL["rename_outcomes"] = CAT + EXIST + r""", asked as (select distinct bucket, key as old_key, regexp_replace(key, '\.tmp$', '.part') as new_key from ev where kind = 'objectcreated:copy')
 select a.*, case when not exists (select 1 from now_there t where t.bucket = a.bucket and t.key = old_key) then 'no_such_key'
   when new_key <> old_key and exists (select 1 from now_there t where t.bucket = a.bucket and t.key = new_key) then 'exists' else 'moved' end as outcome from asked a
 """
-SQL["enrich_monotone"] = _CAT + _WRITTEN + """
+SQL["enrich_monotone"] = CAT + _WRITTEN + """
 select c.bucket, c.key, case when w.key is not null and c.scan_level < 2 then w.size else c.size end as size, case when w.key is not null and c.scan_level < 2 then w.etag else c.etag end as etag,
   case when w.key is not null and c.scan_level < 2 then 2 else c.scan_level end as scan_level from cat c left join lastw w on c.bucket = w.bucket and c.key = w.key
 """
-SQL["reset_level"] = _CAT + _WRITTEN + "select c.bucket, c.key, case when w.key is not null then least(c.scan_level, 1) else c.scan_level end as scan_level from cat c left join lastw w on c.bucket = w.bucket and c.key = w.key"
-SQL["copy_apply"] = _CAT + "select 'copies' as bucket, bucket || '/' || key as key, bucket || '/' || prefix as prefix, name, sha256('copies/' || bucket || '/' || key) as id, size, checksum_sha256 from cat where starts_with(prefix, 'shared/')"
-SQL["merge_plan"] = _CAT + """, w as (select distinct lower(winner_object_id) as winner_id from merge_results), asked as (
+SQL["reset_level"] = CAT + _WRITTEN + "select c.bucket, c.key, case when w.key is not null then least(c.scan_level, 1) else c.scan_level end as scan_level from cat c left join lastw w on c.bucket = w.bucket and c.key = w.key"
+SQL["copy_apply"] = CAT + "select 'copies' as bucket, bucket || '/' || key as key, bucket || '/' || prefix as prefix, name, sha256('copies/' || bucket || '/' || key) as id, size, checksum_sha256 from cat where starts_with(prefix, 'shared/')"
+SQL["merge_plan"] = CAT + """, w as (select distinct lower(winner_object_id) as winner_id from merge_results), asked as (
   select distinct w.winner_id, coalesce(l.id, 'none') as loser_id from w left join cat c on c.id = w.winner_id left join cat l on l.bucket = c.bucket and l.prefix = c.prefix)
 select winner_id, loser_id, case when winner_id = loser_id then 'same_object' when c.id is null or l.id is null then 'no_such_key' when c.checksum_sha256 is null or l.checksum_sha256 is null then 'scan_pending'
   when c.checksum_sha256 <> l.checksum_sha256 then 'mismatch' else 'delete' end as outcome
@@ -182,20 +182,20 @@ v as (select bucket, key, size, case when ten = 9 then null when ten = 1 then 'f
 SQL["integrity_reasons"] = _FILES + "select bucket, key, reason from v where reason is not null"
 SQL["integrity_rollup"] = _FILES + "select bucket, count(*) as files_checked, count(*) filter (where reason is null) as files_ok, coalesce(sum(size) filter (where reason is null), 0)::bigint as bytes_checked, count(*) filter (where reason is not null) as discrepancies from v group by 1"
 
-SQL["tags_get"] = _CAT + "select bucket, key as object_key, e.key as tag, e.value as value from (select bucket, key, unnest(map_entries(metadata)) as e from cat)"
+SQL["tags_get"] = CAT + "select bucket, key as object_key, e.key as tag, e.value as value from (select bucket, key, unnest(map_entries(metadata)) as e from cat)"
 SQL["tags_limits"] = """
 select source as bucket, doc_id::varchar as object_id, case when lang is null then 'no_such_object' when octet_length(encode(coalesce(title, 'none'))) > 128 then 'key_too_long' when octet_length(encode(text)) > 256 then 'value_too_long' end as problem
 from documents where lang is null or octet_length(encode(coalesce(title, 'none'))) > 128 or octet_length(encode(text)) > 256
 """
-SQL["multipart_etag"] = _PARTS + """
+SQL["multipart_etag"] = PARTS + """
 select upload_id, case when count(etag) = count(*) then '"' || md5(unhex(string_agg(replace(etag, '"', ''), '' order by part_number))) || '-' || count(*) || '"' end as etag, count(*) as parts, coalesce(sum(size), 0)::bigint as size from cur group by 1
 """
-SQL["multipart_check"] = _PARTS + """
+SQL["multipart_check"] = PARTS + """
 select f.upload_id, f.part_number, f.etag, coalesce(f.etag = c.etag, false) as valid
 from (select * from pp qualify row_number() over (partition by upload_id, part_number order by uploaded_at, id) = 1) f join cur c on c.upload_id = f.upload_id and c.part_number = f.part_number
 """
 SQL["multipart_list"] = "select distinct bucket, id, key from multipart_uploads where key ilike 'TEAMS/%' and key > 'teams/b' order by key, id limit 100"
-SQL["abandoned_uploads"] = _PARTS + """
+SQL["abandoned_uploads"] = PARTS + """
 select u.id, u.bucket, u.key, count(c.id) as parts, coalesce(sum(c.size), 0)::bigint as bytes
 from (select distinct on (id) * from multipart_uploads where initiated_at < '2025-04-01') u left join cur c on c.upload_id = u.id group by 1, 2, 3
 """
@@ -211,7 +211,7 @@ with a as (select event_id, event_type = 'view' as v, value > 50 as far, case ev
 select event_id, case when v then case when not coalesce(far, false) and m in ('PUT', 'GET') then 1 end
   when far and m = 'GET' then 1 when m = 'HEAD' then 2 when not coalesce(far, false) then 3 end::int as rule from a
 """
-SQL["conditional_get"] = _CAT + _WRITTEN + """, a as (select w.event_id, w.etag, w.event_time, c.etag as held, make_timestamptz(c.last_modified_ns // 1000) as modified from wr w join cat c on c.bucket = w.bucket and c.key = w.key)
+SQL["conditional_get"] = CAT + _WRITTEN + """, a as (select w.event_id, w.etag, w.event_time, c.etag as held, make_timestamptz(c.last_modified_ns // 1000) as modified from wr w join cat c on c.bucket = w.bucket and c.key = w.key)
 select event_id, case when held is not distinct from etag and etag is not null then 'not_modified' when modified <= event_time then 'not_modified' else 'ok' end as outcome,
   case when etag is not null and held is distinct from etag then 'failed' when modified > event_time then 'failed' else 'ok' end as copy_outcome from a
 """
@@ -219,11 +219,11 @@ select event_id, case when held is not distinct from etag and etag is not null t
 SQL["digests"] = "select doc_id, '\"' || md5(text) || '\"' as etag, base64(unhex(sha256(text))) as sha256, base64(unhex(sha1(text))) as sha1, octet_length(encode(text))::int as size from documents"
 _KINDS = ", ".join(f"('{e}', '{k}')" for e, k in content_types().items())
 SQL["content_types"] = f"with kinds(ext, kind) as (values {_KINDS}) select name, coalesce(kind, 'application/octet-stream') as content_type from (select distinct name from disk_snapshot) left join kinds on ext = lower(regexp_extract(name, '[^./]\\.([^./]+)$', 1))"
-SQL["key_parts"] = _CAT + """
+SQL["key_parts"] = CAT + """
 select id, regexp_replace(key, '[^/]*$', '') as prefix, regexp_extract(key, '[^/]*$') as name, (length(key) - length(replace(key, '/', '')))::int as depth, replace(url_encode(key), '%2F', '/') as encoded,
   replace(replace(replace(replace(replace(key, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') as escaped from cat
 """
-SQL["size_texts"] = _CAT + """
+SQL["size_texts"] = CAT + """
 select id, case when size >= 1073741824 then printf('%.1f GB', size / 1073741824.0::double) when size >= 1048576 then printf('%.1f MB', size / 1048576.0::double) when size >= 1024 then printf('%.1f KB', size / 1024.0::double) else printf('%d B', size) end as size_text from cat
 """
 SQL["bucket_names"] = r"""
@@ -234,6 +234,6 @@ select path, case when n = '' then 'bucket' when length(n) < 3 then n || '-bucke
     when contains(last, '--') or contains(last, '..') then 'consecutive_hyphens_or_periods' end as problem from t
 """
 SQL["date_texts"] = "select distinct epoch_us(event_time) as event_us, strftime(event_time at time zone 'UTC', '%a, %d %b %Y %H:%M:%S GMT') as http_date, strftime(event_time at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ') as rfc3339, epoch_us(event_time) // 1000000 * 1000000 as parsed_us from object_events"
-SQL["byte_ranges"] = _CAT + """, h as (select id, size, unnest(['bytes=0-' || size // 2, 'bytes=1024-', 'bytes=-1024']) as header, unnest([1, 2, 3]) as k from cat where size is not null)
+SQL["byte_ranges"] = CAT + """, h as (select id, size, unnest(['bytes=0-' || size // 2, 'bytes=1024-', 'bytes=-1024']) as header, unnest([1, 2, 3]) as k from cat where size is not null)
 select id, header, case k when 1 then 0 when 2 then 1024 else greatest(size - 1024, 0) end::bigint as first, case k when 1 then size // 2 else size - 1 end::bigint as last from h
 """

@@ -1,5 +1,5 @@
 """All queries of the core by name."""
 
-from shelfmark.plans import catalogue, problems
+from shelfmark.plans import catalogue, objects, problems
 
-QUERIES = {**catalogue.QUERIES, **problems.QUERIES}
+QUERIES = {**catalogue.QUERIES, **objects.QUERIES, **problems.QUERIES}
