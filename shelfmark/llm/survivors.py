@@ -10,23 +10,25 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import materialise
 
-#: Groups with at least this many rows, or this share of all rows, are told apart before any row is moved.
-HEAVY_ROWS, HEAVY_SHARE = 1000, 1 / 2000
+#: So many of the largest groups that are too large are cut out before any row is moved.
+LARGEST = 2000
 
 
-def candidate_rows(df: DataFrame, group: str, member: str, least: int = 2, most: int = 20) -> DataFrame:
-    """Rows of df, without those of groups that have more than `most` members and so many rows that moving them hurts.
+def candidate_rows(df: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """Rows of df without those of the largest groups that surely have more than `most` members.
 
-    Rows are counted by group map-side. Groups above the line are at most a few thousand, whatever the
-    data, since each has a fixed share of it; those whose members turn out too many are cut out by a
-    broadcast anti-join before the rows are shuffled. What is left has no large group but of repeats.
+    One map-side aggregation counts rows by group and marks members in bitmaps by their hash: more marks
+    than `most` mean more members than that. Of such groups the largest, of which a share of 1/LARGEST of
+    all rows is always one, are cut out by a broadcast anti-join. What is left has no group that is both
+    crowded and large; a group whose rows repeat a few members shrinks to them map-side.
     """
-    sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > most))
-    total = df.count()
-    line = max(HEAVY_ROWS, total * HEAVY_SHARE)
-    heavy = F.broadcast(sizes.filter(F.col("rows") >= line).select(group))
-    crowded = df.join(heavy, group, "left_semi").select(group, member).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("members")).filter((F.col("members") > most) | (F.col("members") < least))
-    return df.join(F.broadcast(crowded.select(group)), group, "left_anti")
+    lanes, hashed = most // 32 + 1, F.xxhash64(member)
+    slot = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hashed, F.lit(64)).cast("int"))
+    lane = F.pmod(F.floor(hashed / 64), F.lit(lanes))
+    marks = sum((F.coalesce(F.bit_count(F.bit_or(F.when(lane == n, slot))), F.lit(0)) for n in range(lanes)), F.lit(0))
+    counted = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), marks.alias("marks"))
+    crowded = materialise(counted.filter(F.col("marks") > most).orderBy(F.col("rows").desc(), group).limit(LARGEST).select(group))
+    return df.join(F.broadcast(crowded), group, "left_anti")
 
 
 def survivors(df: DataFrame, group: str, member: str, completeness: Sequence[str], recency: str, key: str, fields: Sequence[str], trusted: Column, known: Mapping[str, Column], least: int = 2, most: int = 20) -> DataFrame:
@@ -47,7 +49,7 @@ def survivors(df: DataFrame, group: str, member: str, completeness: Sequence[str
         F.col(group).alias("g"), F.col(member).alias("m"), F.col(key).alias("k"), F.col(recency).alias("at"), trusted.alias("trust"), full.alias("full"),
         *[known[c].isNotNull().alias(f"has{n}") for n, c in enumerate(names)],
     ).dropna(subset=["g", "m"])
-    rows = candidate_rows(rows, "g", "m", least, most)
+    rows = candidate_rows(rows, "g", "m", most)
     rank = [F.col("trust").desc(), F.col("full").desc(), F.col("at").desc_nulls_last(), F.col("k"), F.col("m")]
     # a member's repeats meet by group and member first, which spreads a member that is repeated without end
     flags = [f"has{n}" for n in range(len(names))]
