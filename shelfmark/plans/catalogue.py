@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from typing import Optional
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import digests as D
@@ -26,10 +27,21 @@ from shelfmark.sources.tables import table
 NOW_NS = 1_760_000_000_000_000_000
 
 
-def catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """objects, each once, with SHA-256 digests in one spelling."""
-    once = table(spark, folder, "objects").dropDuplicates(["id"])
-    return once.withColumn("checksum_sha256", digest_text(F.col("checksum_sha256")))
+#: Where an object is.
+PLACE = ("prefix", "name", "key")
+
+
+def catalogue(spark: SparkSession, folder: str, *columns: str, where: Optional[Column] = None) -> DataFrame:
+    """objects, each once: bucket, id and the columns asked for, or all; SHA-256 digests in one spelling.
+
+    A redelivered row repeats the whole of the one before, so distinct rows are distinct objects, and
+    the narrower they are the less is shuffled. where filters the stored columns, in the scan.
+    """
+    rows = table(spark, folder, "objects")
+    rows = rows if where is None else rows.filter(where)
+    wanted = dict.fromkeys(["bucket", "id", *columns])
+    once = rows.select(*wanted).distinct() if columns and "metadata" not in wanted else rows.dropDuplicates(["id"])
+    return once.withColumn("checksum_sha256", digest_text(F.col("checksum_sha256"))) if "checksum_sha256" in once.columns else once
 
 
 def directories(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,41 +66,41 @@ def listings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dup_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return U.groups(catalogue(spark, folder))
+    return U.groups(catalogue(spark, folder, "checksum_sha256", "size"))
 
 
 def dup_members(spark: SparkSession, folder: str) -> DataFrame:
-    rows = catalogue(spark, folder).select("bucket", "id", "key", "checksum_sha256", "size")
+    rows = catalogue(spark, folder, "key", "checksum_sha256", "size")
     return U.members(rows, U.groups(rows)).select("bucket", "checksum_sha256", "id", "key")
 
 
 def dup_first_size(spark: SparkSession, folder: str) -> DataFrame:
-    return U.first_sizes(catalogue(spark, folder))
+    return U.first_sizes(catalogue(spark, folder, "prefix", "name", "checksum_sha256", "size"))
 
 
 def dup_page(spark: SparkSession, folder: str) -> DataFrame:
-    return U.groups_page(U.cross_bucket_groups(catalogue(spark, folder)), 100)
+    return U.groups_page(U.cross_bucket_groups(catalogue(spark, folder, "checksum_sha256", "size")), 100)
 
 
 def dup_page2(spark: SparkSession, folder: str) -> DataFrame:
-    found = U.cross_bucket_groups(catalogue(spark, folder))
+    found = U.cross_bucket_groups(catalogue(spark, folder, "checksum_sha256", "size"))
     return U.groups_page(found, 100, U.encode_group_token(1_000_000, "0"))
 
 
 def dup_key_contains(spark: SparkSession, folder: str) -> DataFrame:
-    return U.groups(catalogue(spark, folder), key_contains="REPORT%.")
+    return U.groups(catalogue(spark, folder, "key", "checksum_sha256", "size"), key_contains="REPORT%.")
 
 
 def dup_key_depth(spark: SparkSession, folder: str) -> DataFrame:
-    return U.groups(catalogue(spark, folder), key_contains="scan_", max_depth=3)
+    return U.groups(catalogue(spark, folder, "key", "checksum_sha256", "size"), key_contains="scan_", max_depth=3)
 
 
 def dup_cross_bucket(spark: SparkSession, folder: str) -> DataFrame:
-    return U.cross_bucket_groups(catalogue(spark, folder))
+    return U.cross_bucket_groups(catalogue(spark, folder, "checksum_sha256", "size"))
 
 
 def bucket_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return T.bucket_stats(catalogue(spark, folder), directories(spark, folder))
+    return T.bucket_stats(catalogue(spark, folder, "checksum_sha256", "size"), directories(spark, folder))
 
 
 # Directories. Their hashes are made from the files here, since those of the table are invented.
@@ -106,7 +118,7 @@ def hashed_directories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dir_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    return U.directory_hashes(catalogue(spark, folder))
+    return U.directory_hashes(catalogue(spark, folder, "prefix", "name", "checksum_sha256", "size"))
 
 
 def dup_dirs(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,14 +143,14 @@ def dup_dirs_page(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compare_dirs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = catalogue(spark, folder).withColumn("path", F.regexp_replace("key", "^[^/]*/", ""))
+    rows = catalogue(spark, folder, "key", "checksum_sha256", where=F.col("key").startswith("archive/") | F.col("key").startswith("exports/")).withColumn("path", F.regexp_replace("key", "^[^/]*/", ""))
     side = lambda d: rows.filter(F.col("key").startswith(d)).groupBy("bucket", "path").agg(F.min("checksum_sha256").alias("checksum_sha256"))
     return U.compare(side("archive/"), side("exports/"), ["bucket", "path"])
 
 
 def compare_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Names of files in one bucket against those in another."""
-    rows = catalogue(spark, folder)
+    rows = catalogue(spark, folder, "name", "checksum_sha256", where=F.col("bucket").isin("field-notes", "scan-archive"))
     side = lambda b: rows.filter(F.col("bucket") == b).groupBy("name").agg(F.min("checksum_sha256").alias("checksum_sha256"))
     return U.compare(side("field-notes"), side("scan-archive"), ["name"])
 
@@ -151,39 +163,39 @@ def compare_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_flat(spark: SparkSession, folder: str) -> DataFrame:
-    return L.page(catalogue(spark, folder), 1000).select("bucket", "id", "key")
+    return L.page(catalogue(spark, folder, *PLACE), 1000).select("bucket", "id", "key")
 
 
 def list_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    return L.page(catalogue(spark, folder), 1000, "archive/de").select("bucket", "id", "key")
+    return L.page(catalogue(spark, folder, *PLACE, where=L.under(F.col("key"), "archive/de")), 1000, "archive/de").select("bucket", "id", "key")
 
 
 def list_page(spark: SparkSession, folder: str) -> DataFrame:
-    return L.page(catalogue(spark, folder), 1000, "", ("devices/h", "m")).select("bucket", "id", "key")
+    return L.page(catalogue(spark, folder, *PLACE, where=L.beyond(("devices/h", "m"))), 1000, "", ("devices/h", "m")).select("bucket", "id", "key")
 
 
 def list_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return catalogue(spark, folder).filter(L.under(F.col("key"), "staging/")).select("bucket", "key")
+    return catalogue(spark, folder, "key", where=L.under(F.col("key"), "staging/")).select("bucket", "key")
 
 
 def list_delimiter(spark: SparkSession, folder: str) -> DataFrame:
-    return L.entries(catalogue(spark, folder))
+    return L.entries(catalogue(spark, folder, "key", "size"))
 
 
 def list_delimiter_below(spark: SparkSession, folder: str) -> DataFrame:
-    return L.entries(catalogue(spark, folder), "archive/", "-0")
+    return L.entries(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), "archive/", "-0")
 
 
 def list_entries_page(spark: SparkSession, folder: str) -> DataFrame:
-    return L.entries_page(catalogue(spark, folder), 50, "archive/", "/", L.encode_token("archive/delta/"))
+    return L.entries_page(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), 50, "archive/", "/", L.encode_token("archive/delta/"))
 
 
 def list_by_parent(spark: SparkSession, folder: str) -> DataFrame:
-    return catalogue(spark, folder).groupBy("bucket", "prefix").agg(F.count(F.lit(1)).alias("files"), F.min("name").alias("first_name"))
+    return catalogue(spark, folder, "prefix", "name").groupBy("bucket", "prefix").agg(F.count(F.lit(1)).alias("files"), F.min("name").alias("first_name"))
 
 
 def list_root(spark: SparkSession, folder: str) -> DataFrame:
-    return L.children(catalogue(spark, folder), "").select("bucket", "id", "key")
+    return L.children(catalogue(spark, folder, *PLACE, where=F.col("prefix") == ""), "").select("bucket", "id", "key")
 
 
 def list_buckets(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,12 +204,12 @@ def list_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 def get_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Objects of the catalogue that the event feed says exist, by key."""
-    return p1_found(spark, folder).select("bucket", F.col("object_key").alias("key")).join(catalogue(spark, folder), ["bucket", "key"]).select("bucket", "key", "id", "size", "scan_level")
+    return p1_found(spark, folder).select("bucket", F.col("object_key").alias("key")).join(catalogue(spark, folder, "key", "size", "scan_level"), ["bucket", "key"]).select("bucket", "key", "id", "size", "scan_level")
 
 
 def get_by_inode(spark: SparkSession, folder: str) -> DataFrame:
     """The first object of each file identity."""
-    known = catalogue(spark, folder).filter("inode is not null and device_id is not null")
+    known = catalogue(spark, folder, "key", "inode", "device_id").filter("inode is not null and device_id is not null")
     return known.groupBy("bucket", "inode", "device_id").agg(F.min("key").alias("key"))
 
 
@@ -205,27 +217,27 @@ def get_by_inode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def count_objects(spark: SparkSession, folder: str) -> DataFrame:
-    return catalogue(spark, folder).agg(F.count(F.lit(1)).alias("objects"))
+    return catalogue(spark, folder, "scan_level").agg(F.count(F.lit(1)).alias("objects"))
 
 
 def scan_status(spark: SparkSession, folder: str) -> DataFrame:
-    return T.scan_status(catalogue(spark, folder))
+    return T.scan_status(catalogue(spark, folder, "scan_level"))
 
 
 def remaining(spark: SparkSession, folder: str) -> DataFrame:
-    return T.remaining(catalogue(spark, folder))
+    return T.remaining(catalogue(spark, folder, "scan_level", "size", where=F.col("scan_level") < 3))
 
 
 def at_level_3(spark: SparkSession, folder: str) -> DataFrame:
-    return catalogue(spark, folder).filter("scan_level >= 3").select("bucket", "id", "key")
+    return catalogue(spark, folder, "key", "scan_level", where=F.col("scan_level") >= 3).select("bucket", "id", "key")
 
 
 def below_level_page(spark: SparkSession, folder: str) -> DataFrame:
-    return L.page(catalogue(spark, folder).filter("scan_level < 3"), 1000, after=("devices/", "")).select("bucket", "id", "key")
+    return L.page(catalogue(spark, folder, *PLACE, "scan_level", where=F.col("scan_level") < 3), 1000, after=("devices/", "")).select("bucket", "id", "key")
 
 
 def byte_budget(spark: SparkSession, folder: str) -> DataFrame:
-    return T.byte_budget(catalogue(spark, folder), 3, 50 << 20).select("bucket", "key", "size", "running")
+    return T.byte_budget(catalogue(spark, folder, *PLACE, "size", "scan_level", where=F.col("scan_level") < 3), 3, 50 << 20).select("bucket", "key", "size", "running")
 
 
 def upload_throughput(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,23 +282,23 @@ def _written(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
-    old = catalogue(spark, folder).select("bucket", "key", "id", "created_at_ns", "size", "etag")
+    old = catalogue(spark, folder, "key", "created_at_ns", "size", "etag").select("bucket", "key", "id", "created_at_ns", "size", "etag")
     return C.upsert(old, _written(spark, folder), ["bucket", "key"], ["event_time", "event_id"])
 
 
 def delete_anti(spark: SparkSession, folder: str) -> DataFrame:
     gone = object_changes(spark, folder).filter(F.col("kind").startswith("objectremoved")).select("bucket", F.col("object_key").alias("key"))
-    return C.deleted(catalogue(spark, folder), gone).select("bucket", "key", "id")
+    return C.deleted(catalogue(spark, folder, "key"), gone).select("bucket", "key", "id")
 
 
 def bulk_delete(spark: SparkSession, folder: str) -> DataFrame:
     gone = object_changes(spark, folder).filter(F.col("kind").startswith("objectremoved")).select("bucket", F.col("object_key").alias("key"))
-    return C.bulk_delete(catalogue(spark, folder), gone)
+    return C.bulk_delete(catalogue(spark, folder, "key"), gone)
 
 
 def rename_apply(spark: SparkSession, folder: str) -> DataFrame:
     """Files in directories called tmp moved to their parent, as far as the names there are free."""
-    rows = catalogue(spark, folder)
+    rows = catalogue(spark, folder, *PLACE, "last_modified_ns")
     moves = rows.filter(F.col("prefix").contains("/tmp/")).select("bucket", F.col("key").alias("old_key"), F.regexp_replace("key", "/tmp/", "/").alias("new_key"))
     return C.renamed(rows, moves, NOW_NS).select("bucket", "key", "prefix", "name", "id", "last_modified_ns")
 
@@ -300,22 +312,22 @@ def rename_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 def enrich_monotone(spark: SparkSession, folder: str) -> DataFrame:
     last = _written(spark, folder).groupBy("bucket", "key").agg(F.max_by(F.struct("size", "etag"), F.struct("event_time", "event_id")).alias("u"))
-    return C.enriched(catalogue(spark, folder), last.select("bucket", "key", "u.*"), 2).select("bucket", "key", "size", "etag", "scan_level")
+    return C.enriched(catalogue(spark, folder, "key", "size", "etag", "scan_level"), last.select("bucket", "key", "u.*"), 2).select("bucket", "key", "size", "etag", "scan_level")
 
 
 def reset_level(spark: SparkSession, folder: str) -> DataFrame:
-    return C.reset(catalogue(spark, folder), _written(spark, folder), 1).select("bucket", "key", "scan_level")
+    return C.reset(catalogue(spark, folder, "key", "scan_level"), _written(spark, folder), 1).select("bucket", "key", "scan_level")
 
 
 def copy_apply(spark: SparkSession, folder: str) -> DataFrame:
-    rows = catalogue(spark, folder)
+    rows = catalogue(spark, folder, *PLACE, "size", "checksum_sha256", "created_at_ns", "last_modified_ns", where=F.col("prefix").startswith("shared/"))
     asked = rows.filter(F.col("prefix").startswith("shared/")).select("bucket", "key", F.lit("copies").alias("to_bucket"), F.concat("bucket", F.lit("/"), "key").alias("to_key"))
     return C.copies(rows, asked, NOW_NS).select("bucket", "key", "prefix", "name", "id", "size", "checksum_sha256")
 
 
 def merge_plan(spark: SparkSession, folder: str) -> DataFrame:
     """For each earlier merge, all files of the winner's directory put up as losers; a winner that is gone has none."""
-    rows = catalogue(spark, folder).select("id", "bucket", "prefix", "checksum_sha256")
+    rows = catalogue(spark, folder, "prefix", "checksum_sha256")
     winners = table(spark, folder, "merge_results").select(canonical_uuid(F.col("winner_object_id")).alias("winner_id")).distinct()
     mine = winners.join(rows.select(F.col("id").alias("winner_id"), "bucket", "prefix"), "winner_id", "left")
     others = rows.select("bucket", "prefix", F.col("id").alias("loser_id"))
@@ -359,7 +371,7 @@ def _tags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tags_get(spark: SparkSession, folder: str) -> DataFrame:
-    return G.tags_of(catalogue(spark, folder), _tags(spark, folder))
+    return G.tags_of(catalogue(spark, folder, "key"), _tags(spark, folder))
 
 
 def tags_limits(spark: SparkSession, folder: str) -> DataFrame:
@@ -424,7 +436,7 @@ def cors_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def conditional_get(spark: SparkSession, folder: str) -> DataFrame:
     """Each write of the event feed asked for again under the tag and time of the catalogue's row."""
-    rows = catalogue(spark, folder).select("bucket", "key", F.col("etag").alias("held"), F.timestamp_micros(F.floor(F.col("last_modified_ns").cast("decimal(20,0)") / 1000).cast("long")).alias("modified"))
+    rows = catalogue(spark, folder, "key", "etag", "last_modified_ns").select("bucket", "key", F.col("etag").alias("held"), F.timestamp_micros(F.floor(F.col("last_modified_ns").cast("decimal(20,0)") / 1000).cast("long")).alias("modified"))
     asked = _written(spark, folder).select("event_id", "bucket", "key", "etag", "event_time").join(rows, ["bucket", "key"])
     none = F.lit(None)
     outcome = M.condition(F.col("held"), F.col("modified"), none.cast("string"), F.col("etag"), F.col("event_time"), none.cast("timestamp"))
@@ -452,11 +464,11 @@ def content_types(spark: SparkSession, folder: str) -> DataFrame:
 
 def key_parts(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("key")
-    return catalogue(spark, folder).select("id", S.key_prefix(k).alias("prefix"), S.key_name(k).alias("name"), S.slashes(k).alias("depth"), S.uri_encode(k, True).alias("encoded"), S.xml_escape(k).alias("escaped"))
+    return catalogue(spark, folder, "key").select("id", S.key_prefix(k).alias("prefix"), S.key_name(k).alias("name"), S.slashes(k).alias("depth"), S.uri_encode(k, True).alias("encoded"), S.xml_escape(k).alias("escaped"))
 
 
 def size_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return catalogue(spark, folder).select("id", S.human_size(F.col("size")).alias("size_text"))
+    return catalogue(spark, folder, "size").select("id", S.human_size(F.col("size")).alias("size_text"))
 
 
 def bucket_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -477,7 +489,7 @@ def byte_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """The first half, all but the first kilobyte and the last kilobyte of each object, as byte ranges."""
     size = F.col("size")
     headers = F.array(F.format_string("bytes=0-%d", F.floor(size / 2)), F.lit("bytes=1024-"), F.lit("bytes=-1024"))
-    rows = catalogue(spark, folder).filter("size is not null").select("id", "size", F.explode(headers).alias("header"))
+    rows = catalogue(spark, folder, "size", where=F.col("size").isNotNull()).select("id", "size", F.explode(headers).alias("header"))
     return rows.withColumn("r", S.byte_range(F.col("header"), size)).select("id", "header", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
 
 

@@ -60,19 +60,19 @@ def parts_page(spark: SparkSession, folder: str) -> DataFrame:
 def head_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Objects of the catalogue that the event feed says exist."""
     files = p1_found(spark, folder).select("bucket", F.col("object_key").alias("key"))
-    return O.present(catalogue(spark, folder), files).select("bucket", "key", "etag", "content_type")
+    return O.present(catalogue(spark, folder, "key", "etag", "content_type"), files).select("bucket", "key", "etag", "content_type")
 
 
 def fetch_by_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Objects of earlier merges' winners, with the merge's time as position."""
     winners = table(spark, folder, "merge_results").select(canonical_uuid(F.col("winner_object_id")).alias("id"), F.unix_micros("merged_at").alias("position")).groupBy("id").agg(F.min("position").alias("position"))
-    rows = catalogue(spark, folder)
+    rows = catalogue(spark, folder, "key")
     wanted = rows.select("bucket", "key", "id").join(winners, "id").select("bucket", "key", "position")
     return by_keys(rows, wanted).select("position", "bucket", "key", "id")
 
 
 def dir_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return O.recursive_sizes(catalogue(spark, folder))
+    return O.recursive_sizes(catalogue(spark, folder, "prefix", "size"))
 
 
 def dirs_unhashed(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +83,7 @@ def dirs_stored(spark: SparkSession, folder: str) -> DataFrame:
     """Directories with the hashes of their files put in."""
     from shelfmark.operators.duplicates import directory_hashes
 
-    hashes = directory_hashes(catalogue(spark, folder)).filter("dir_hash is not null")
+    hashes = directory_hashes(catalogue(spark, folder, "prefix", "name", "checksum_sha256", "size")).filter("dir_hash is not null")
     return O.with_stored_hashes(directories(spark, folder), hashes).select("bucket", "prefix", "dir_hash", "file_count", "total_size", "stale")
 
 
