@@ -9,6 +9,7 @@ from typing import Optional
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from shelfmark.operators.ranking import with_group_rank
@@ -98,12 +99,22 @@ def plan_containers(histogram: Mapping[int, int], capacity: int) -> tuple[dict[i
     return dict(runs), made
 
 
+#: The most capacities that are planned for at once.
+MOST_CAPACITIES = 1000
+
+
 def pieces(items: DataFrame, capacities: DataFrame, length: str, capacity: str) -> DataFrame:
     """Each item once for each capacity, or, where it is longer, once for each piece of it: with piece and piece_length.
 
-    All pieces but the last have the full capacity.
+    All pieces but the last have the full capacity. Capacities are a list of settings; more than
+    MOST_CAPACITIES are refused.
     """
-    both = items.crossJoin(F.broadcast(capacities.filter(F.col(capacity) > 0)))  # capacities are a given handful
+    settings = capacities.filter(F.col(capacity) > 0)
+    given = settings.limit(MOST_CAPACITIES + 1).collect()
+    if len(given) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    each = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in settings.schema]) for r in given])
+    both = items.withColumn("_c", F.explode(each) if given else F.explode(F.array().cast(T.ArrayType(settings.schema)))).select("*", "_c.*").drop("_c")
     n, c = F.coalesce(F.col(length), F.lit(0)).cast("long"), F.col(capacity).cast("long")
     last = F.greatest(F.ceil(n / c) - 1, F.lit(0)).cast("int")
     return both.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("piece_length", F.least(c, n - F.col("piece") * c))
