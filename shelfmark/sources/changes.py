@@ -3,8 +3,12 @@
     spark.dataSource.register(TreeChanges)
     spark.readStream.format("tree_changes").option("state", "/shared/state").load("/some/folder")
 
-Each micro-batch lists the tree again. What the listing was is written beside the state under the
+Each micro-batch lists the tree again. What the listing was is written in the state folder under the
 batch's number, so a batch that is run again after a failure gives the same rows.
+
+The listing is held where the stream is driven, so a tree has a limit of files (option max_files, by
+default a million) beyond which the stream stops with an error. Larger trees are compared in batches, with
+the file_tree source and operators.catalogue.classify, on a schedule.
 """
 
 import json
@@ -23,6 +27,7 @@ class ChangesReader(SimpleDataSourceStreamReader):
         self.root = os.path.abspath(options["path"])
         self.bucket = options.get("bucket") or os.path.basename(self.root)
         self.state = options["state"]
+        self.most = int(options.get("max_files") or 1_000_000)
         os.makedirs(self.state, exist_ok=True)
 
     def initialOffset(self) -> dict:
@@ -47,7 +52,11 @@ class ChangesReader(SimpleDataSourceStreamReader):
     def read(self, start: dict):
         number = start["listing"]
         old = self._listing(number)
-        new = {row[2]: [row[5], row[6]] for row in walk(self.root, Subtree(self.root, True))}
+        new = {}
+        for row in walk(self.root, Subtree(self.root, True)):
+            new[row[2]] = [row[5], row[6]]
+            if len(new) > self.most:
+                raise ValueError(f"{self.root} has more than {self.most} files; compare it in batches")
         found = list(self._differences(old, new))
         if not found:
             return iter([]), start

@@ -3,8 +3,9 @@
     spark.dataSource.register(FileTree)
     spark.read.format("file_tree").option("bucket", "b").load("/some/folder")
 
-Each folder just below the root is a partition, and so are the files of the root itself, so a tree is
-walked by as many tasks as it has such folders. Only the root is listed on the driver.
+Each folder so many levels below the root (option depth, by default one) is a partition, and so are the
+files of each folder above those, so a tree is walked by as many tasks as it has such folders. The driver
+lists the levels above only.
 """
 
 import os
@@ -67,10 +68,14 @@ class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
         self.bucket = options.get("bucket") or os.path.basename(self.root)
+        self.depth = int(options.get("depth") or 1)
 
     def partitions(self) -> list[InputPartition]:
-        top = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name != STATE_FOLDER)
-        return [Subtree(self.root, False), *[Subtree(p, True) for p in top]]
+        parts, level = [], [self.root]
+        for n in range(self.depth):
+            parts += [Subtree(p, False) for p in level]
+            level = sorted(e.path for p in level for e in os.scandir(p) if e.is_dir(follow_symlinks=False) and not (n == 0 and e.name == STATE_FOLDER))
+        return parts + [Subtree(p, True) for p in level]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         for row in walk(self.root, partition):

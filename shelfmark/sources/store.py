@@ -1,9 +1,11 @@
-"""Versions of a table on shared storage: immutable Parquet folders and a pointer to the current one."""
+"""Versions of a table on shared storage: immutable Parquet folders, each whole once its marker file is there.
+
+All files go through Hadoop's file systems, so a table may lie on any storage the cluster reads.
+"""
 
 from __future__ import annotations
 
 import json
-import os
 from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,40 +13,56 @@ from pyspark.sql import types as T
 
 
 class Versions:
-    """A table whose every change is a new version. A pointer file is replaced in one step once a version is whole."""
+    """A table whose every change is a new version; one writer at a time.
+
+    A version counts once its marker is written, which is the last step and holds the schema, so that
+    versions without rows can be read. A version that was left unfinished is overwritten.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _place(self, *parts: str):
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def versions(self) -> list[int]:
+        """The numbers of the whole versions, oldest first."""
+        fs, root = self._place()
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n[2:-5]) for n in names if n.startswith("v=") and n.endswith(".json"))
 
     def current(self) -> Optional[int]:
         """The number of the current version, or None before the first."""
-        try:
-            with open(os.path.join(self.path, "current.json")) as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return None
+        return max(self.versions(), default=None)
 
     def read(self, version: Optional[int] = None) -> DataFrame:
         """A version, by default the current one."""
         version = self.current() if version is None else version
         if version is None:
             raise FileNotFoundError(f"{self.path} has no version yet")
-        folder = os.path.join(self.path, f"v={version}")
-        with open(os.path.join(folder, "_schema.json")) as f:  # a version without rows has no file to tell it
-            schema = T.StructType.fromJson(json.load(f))
-        return self.spark.read.schema(schema).parquet(folder)
+        marker = self.spark.read.text(f"{self.path}/v={version}.json", wholetext=True).first()[0]
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(marker))).parquet(f"{self.path}/v={version}")
 
-    def commit(self, df: DataFrame, partition_by: str | None = "bucket") -> int:
+    def commit(self, df: DataFrame, partition_by: Optional[str] = "bucket") -> int:
         """Write df as the next version and make it current. df may read the version it replaces."""
         version = (self.current() or 0) + 1
-        folder = os.path.join(self.path, f"v={version}")
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by in df.columns else writer).parquet(folder)
-        with open(os.path.join(folder, "_schema.json"), "w") as f:
-            json.dump(df.schema.jsonValue(), f)
-        spare = os.path.join(self.path, "current.json.tmp")
-        with open(spare, "w") as f:
-            json.dump({"version": version}, f)
-        os.replace(spare, os.path.join(self.path, "current.json"))
+        (writer.partitionBy(partition_by) if partition_by in df.columns else writer).parquet(f"{self.path}/v={version}")
+        fs, place = self._place(f"v={version}.json")
+        out = fs.create(place, True)
+        out.write(bytearray(json.dumps(df.schema.jsonValue()).encode()))
+        out.close()
         return version
+
+    def expire(self, keep: int = 2) -> list[int]:
+        """Delete all but the last `keep` versions; their numbers."""
+        gone = self.versions()[:-keep] if keep else self.versions()
+        for version in gone:
+            for name in (f"v={version}.json", f"v={version}"):
+                fs, place = self._place(name)
+                fs.delete(place, True)
+        return gone

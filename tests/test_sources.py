@@ -1,10 +1,11 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import catalogue as C
 from shelfmark.sources import files as S
-from shelfmark.sources.changes import TreeChanges
+from shelfmark.sources.changes import ChangesReader, TreeChanges
 from shelfmark.sources.store import Versions
 from shelfmark.streaming import jobs
 
@@ -27,6 +28,8 @@ def test_walk_facts_links_and_state(spark, tmp_path):
     rows = {r.key: r for r in listed(spark, tmp_path).collect()}
     assert sorted(rows) == ["a", "d/b", "d/e/c", "d/link"]
     assert (rows["d/b"].prefix, rows["d/b"].name, rows["d/b"].size, rows["d/b"].is_symlink) == ("d/", "b", 2, False)
+    deep = spark.read.format("file_tree").option("bucket", "b").option("depth", "2").load(str(tmp_path))
+    assert sorted(r.key for r in deep.collect()) == sorted(rows)
     assert rows["d/link"].symlink_target == "gone" and rows["a"].inode and rows["a"].mtime_ns == os.lstat(tmp_path / "a").st_mtime_ns
 
 
@@ -58,6 +61,9 @@ def test_versions(spark, tmp_path):
     v.commit(spark.createDataFrame([("b", 1)], "bucket string, x int"))
     v.commit(v.read().withColumn("x", F.col("x") + 1))
     assert v.current() == 2 and v.read().collect()[0].x == 2 and v.read(1).collect()[0].x == 1
+    os.makedirs(tmp_path / "t" / "v=3")  # left unfinished
+    assert v.current() == 2 and v.commit(v.read().limit(0)) == 3 and v.read().count() == 0
+    assert v.expire(1) == [1, 2] and v.versions() == [3]
 
 
 COLUMNS = "bucket string, prefix string, name string, key string, id string, size long, file_mtime_ns long, scan_level int, etag string, last_modified_ns long, created_at_ns long"
@@ -82,6 +88,13 @@ def test_change_stream_keeps_a_catalogue_current(spark, tmp_path):
     assert step() == {"a": (3, 1), "c": (1, 1)}
 
 
+def test_change_stream_has_a_limit(tmp_path):
+    tree(tmp_path / "r", a="1", b="2")
+    reader = ChangesReader({"path": str(tmp_path / "r"), "state": str(tmp_path / "s"), "max_files": "1"})
+    with pytest.raises(ValueError):
+        reader.read({"listing": 0})
+
+
 def test_false_alarms_leave_rows_alone(spark):
     held = spark.createDataFrame([("b", "", "a", "a", "1", 5, 7, 3, "e", 1, 1), ("b", "", "x", "x", "2", 5, 7, 3, "e", 1, 1)], COLUMNS)
     change = spark.createDataFrame([("b", "a", "changed", 5, 7), ("b", "x", "deleted", None, None), ("b", "x", "changed", 6, 8)], "bucket string, key string, op string, size long, mtime_ns long")
