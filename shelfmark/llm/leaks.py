@@ -134,7 +134,7 @@ def _shared_run(a: Column, b: Column, span: int, k: int) -> Column:
     return inside & whole
 
 
-def leaks(documents: DataFrame, document: str, text: str, items: DataFrame, item: str, item_text: str, span: int = 12, k: int = 8, model: Spelling | None = None, few: int = 2_000_000) -> DataFrame:
+def leaks(documents: DataFrame, document: str, text: str, items: DataFrame, item: str, item_text: str, span: int = 12, k: int = 8, model: Spelling | None = None, few: int = 200_000) -> DataFrame:
     """Distinct (document, item): documents that hold at least span consecutive words of the item's text.
 
     Words are compared in the one form of texts that look alike, without case. Both sides are winnowed

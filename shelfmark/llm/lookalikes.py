@@ -185,34 +185,43 @@ class Spelling:
         return found if found is not None else self.unseen.get((script, a), self.floor[script])
 
     def path(self, classes: str) -> str:
-        """The best letters for a token given by the classes of its letters."""
-        best: dict[tuple[str, str], tuple[float, str]] = {("", "^"): (0.0, "")}
+        """The best letters for a token given by the classes of its letters; time and memory follow its length."""
+        best: dict[tuple[str, str], float] = {("", "^"): 0.0}
+        back: list[dict[tuple[str, str], tuple[str, str]]] = []
         for ch in classes:
-            step: dict[tuple[str, str], tuple[float, str]] = {}
-            for script, letter in (MEMBERS.get(ch) or {script_of(ch): ch}).items():
-                for (was, before), (cost, so_far) in best.items():
+            step, came = {}, {}
+            for script, letter in sorted((MEMBERS.get(ch) or {script_of(ch): ch}).items()):
+                for at, score in sorted(best.items()):
+                    was, before = at
                     if before == "^":
-                        new = cost + self.prior.get(script, 0.0) + self.score(script, "^", letter)
+                        score += self.prior.get(script, 0.0) + self.score(script, "^", letter)
                     elif was == script:
-                        new = cost + self.score(script, before, letter)
+                        score += self.score(script, before, letter)
                     else:
-                        new = cost - self.CHANGE + self.score(script, "^", letter)
-                    # ties fall to the text that sorts first
-                    if (script, letter) not in step or (new, step[script, letter][1]) > (step[script, letter][0], so_far + letter):
-                        step[script, letter] = (new, so_far + letter)
+                        score += self.score(script, "^", letter) - self.CHANGE
+                    if (script, letter) not in step or score > step[script, letter]:
+                        step[script, letter], came[script, letter] = score, at
             best = step
-        return min((-(cost + self.score(script, letter, "$")), so_far) for (script, letter), (cost, so_far) in best.items())[1]
+            back.append(came)
+        # ties fall to the state that sorts first, here and above, so a lattice has one best path
+        at = min(best, key=lambda s: (-(best[s] + self.score(*s, "$")), s))
+        letters = []
+        for came in reversed(back):
+            letters.append(at[1])
+            at = came[at]
+        return "".join(reversed(letters))
 
     def token(self, token: str) -> str:
         """The one form of a token given by classes, accents apart; remembered, up to a bound."""
         form = self.known.get(token)
         if form is None:
             bare = MARKS.sub("", token)
-            letters = iter(self.path(bare) if len(bare) <= 200 else bare)
+            letters = iter(self.path(bare))
             form = "".join(c if "̀" <= c <= "ͯ" else next(letters) for c in token)
             if len(self.known) >= 500_000:
                 self.known.clear()
-            self.known[token] = form
+            if len(token) <= 64:
+                self.known[token] = form
         return form
 
     def canonical(self, text: str) -> str:

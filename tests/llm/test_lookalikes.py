@@ -4,7 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm.lookalikes import LOOKALIKES, Spelling, canonical_texts, counted_pairs, look_classes, look_pairs, looks, normalise
+from shelfmark.llm.lookalikes import LOOKALIKES, MEMBERS, Spelling, canonical_texts, counted_pairs, look_classes, look_pairs, looks, normalise, script_of
 
 ENGLISH = "the folder of the server was copied once more and then nobody could open its hidden pages so we had to choose a copy"
 RUSSIAN = "зеркало отстаёт и удалённый файл всё ещё виден сначала сравните оба каталога потом удаляйте старую копию"
@@ -57,6 +57,27 @@ def test_normalise():
     assert normalise("ﬀ ½ ² Ｋ K") == "ff ½ ² K K"
 
 
+def exhaustive(model, classes):
+    """The best path by trying all."""
+    import itertools
+
+    best = None
+    for letters in itertools.product(*[sorted((MEMBERS.get(c) or {script_of(c): c}).items()) for c in classes]):
+        score, was, before = model.prior.get(letters[0][0], 0.0), None, "^"
+        for script, letter in letters:
+            score += model.score(script, before if was in (None, script) else "^", letter) - (model.CHANGE if was not in (None, script) else 0)
+            was, before = script, letter
+        score += model.score(was, before, "$")
+        if best is None or score > best[0] + 1e-9:
+            best = (score, "".join(x for _, x in letters))
+    return best[1]
+
+
+def test_best_paths_against_all_paths(model):
+    for classes in ("copy", "co", "a", "exposed", "pacoxф", "tфe", "SCOPE", "иco"):
+        assert model.path(classes) == exhaustive(model, classes)
+
+
 def test_long_tokens_and_no_statistics():
     empty = Spelling({})
     assert empty.canonical("сор" * 1000) == empty.canonical("cop" * 1000)
