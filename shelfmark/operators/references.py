@@ -107,12 +107,14 @@ def orphan_report(references: Sequence[Reference]) -> DataFrame:
     )
 
 
-def orphans(references: Sequence[Reference]) -> DataFrame:
+def orphans(references: Sequence[Reference], few: int = 50_000) -> DataFrame:
     """Distinct (child_table, child_id, period_month) of the references orphan_keys finds.
 
-    Children meet their orphan keys again in a join that splits keys with many children over tasks.
+    Children meet their orphan keys again. Those are counted: up to `few` are sent to the tasks, and
+    children stay where they are read; beyond that the join splits keys with many children over tasks.
     """
-    children = reduce(DataFrame.unionByName, [_children(r) for r in references])
-    lost = materialise(orphan_keys(references).select("child_table", "scope", "key", "month"))
-    found = fragment_join(children.drop("parent_table"), lost, ["child_table", "scope", "key", "month"], "left_semi")
+    children = reduce(DataFrame.unionByName, [_children(r) for r in references]).drop("parent_table")
+    on = ["child_table", "scope", "key", "month"]
+    lost = materialise(orphan_keys(references).select(*on))
+    found = children.join(F.broadcast(lost), on, "left_semi") if lost.count() <= few else fragment_join(children, lost, on, "left_semi")
     return found.select("child_table", "child_id", month_text(F.col("month")).alias("period_month")).distinct()
