@@ -165,3 +165,15 @@ def byte_budget_for(rate: Column, seconds: int = 120, seed: int = 50 << 20, most
 def readers_for(mean_size: Column) -> Column:
     """How many files to read at once, by their mean size."""
     return F.when(mean_size <= 512 << 10, 32).when(mean_size <= 1 << 20, 16).when(mean_size <= 8 << 20, 8).otherwise(1)
+
+
+def extrapolated_rate(size: Column, done: Column, tried: Column, seconds: Column) -> Column:
+    """Bytes per second, had all files that were tried been of the size of those done; null without time or files."""
+    whole = F.when(done > 0, size * (tried / done)).otherwise(size)
+    return F.when((seconds > 0) & (tried > 0), whole / seconds)
+
+
+def names_a_file(key: Column, state: str = ".shelfmark") -> Column:
+    """Whether a key may name a file, as far as its text tells: relative, no '..' part, not in the state folder."""
+    parts = F.split(key, "/")
+    return F.coalesce((key != "") & ~key.startswith("/") & ~F.array_contains(parts, "..") & ~key.contains("\0") & (F.get(parts, F.lit(0)) != state), F.lit(False))

@@ -8,9 +8,10 @@ each task takes before anything is shuffled.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 ORDER = ["prefix", "name"]
@@ -36,6 +37,11 @@ def page(df: DataFrame, limit: int, prefix: str = "", after: Optional[tuple[str,
     return df.filter(under(F.col("key"), prefix) & beyond(after)).orderBy(*ORDER).limit(limit)
 
 
+def stream(df: DataFrame, prefix: str = "", after: Optional[tuple[str, str]] = None) -> Iterator[Row]:
+    """All rows under prefix after a place in listing order, one partition at a time on the driver."""
+    return df.filter(under(F.col("key"), prefix) & beyond(after)).orderBy(*ORDER).toLocalIterator(prefetchPartitions=True)
+
+
 def children(df: DataFrame, directory: str) -> DataFrame:
     """Files directly in a directory; '' is the root."""
     return df.filter(F.col("prefix") == (f"{directory.rstrip('/')}/" if directory else ""))

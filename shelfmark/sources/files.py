@@ -140,6 +140,69 @@ def hashed(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     return spread.mapInPandas(run, DIGEST_SCHEMA)
 
 
+def written(uploads: DataFrame, root: str) -> DataFrame:
+    """Write uploads(bucket, key, content) as files under root; (bucket, key, written, error) of each.
+
+    A file is written beside its place and then moved there, so that nobody sees half of it and a task
+    that runs again does no harm. Keys that may not name a file are refused. Nothing happens before the
+    result is asked for.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for bucket, key, content in zip(batch["bucket"], batch["key"], batch["content"]):
+                error = None
+                try:
+                    if not valid_key(key):
+                        raise ValueError("invalid key")
+                    path = os.path.join(root, key)
+                    if os.path.realpath(os.path.dirname(path)) != os.path.normpath(os.path.join(os.path.realpath(root), os.path.dirname(key))):
+                        raise ValueError("a link on the way")
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    spare = f"{path}.{uuid.uuid4().hex}"
+                    with open(spare, "wb") as f:
+                        f.write(content)
+                    os.replace(spare, path)
+                except (OSError, ValueError) as e:
+                    error = str(e)
+                out.append((bucket, key, error is None, error))
+            yield pd.DataFrame(out, columns=["bucket", "key", "written", "error"])
+
+    return uploads.select("bucket", "key", "content").mapInPandas(run, "bucket string, key string, written boolean, error string")
+
+
+def removed(plan: DataFrame, root: str) -> DataFrame:
+    """Delete the files of plan(bucket, key) under root; (bucket, key, removed, error). A file that is gone already counts as removed.
+
+    Nothing happens before the result is asked for.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for bucket, key in zip(batch["bucket"], batch["key"]):
+                error = None
+                try:
+                    if not valid_key(key):
+                        raise ValueError("invalid key")
+                    os.remove(os.path.join(root, key))
+                except FileNotFoundError:
+                    pass
+                except (OSError, ValueError) as e:
+                    error = str(e)
+                out.append((bucket, key, error is None, error))
+            yield pd.DataFrame(out, columns=["bucket", "key", "removed", "error"])
+
+    return plan.select("bucket", "key").distinct().mapInPandas(run, "bucket string, key string, removed boolean, error string")
+
+
 def contents(spark, root: str, pattern: str = "*") -> DataFrame:
     """(key, size, content) of files small enough for a row, by Spark's own binary source."""
     base = os.path.abspath(root)

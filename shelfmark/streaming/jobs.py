@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from datetime import datetime
 from typing import Optional
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.functions.scalars import key_name, key_prefix
 from shelfmark.operators.matching import deliveries
+from shelfmark.operators.multipart import abandoned, current_parts, without
 from shelfmark.operators.stats import byte_budget
+from shelfmark.session import materialise
 from shelfmark.sources.store import Versions
 
 
@@ -136,3 +139,21 @@ def pending_batches(read: Callable[[], DataFrame], level: int, step: Callable[[D
             return done
         step(batch)
     return most
+
+
+def progress(query: StreamingQuery) -> dict:
+    """Where a stream stands: its last batch, rows in it and per second, and whether it runs."""
+    last = query.lastProgress
+    known = {k: last[k] for k in ("batchId", "numInputRows", "processedRowsPerSecond")} if last else {}
+    return {"running": query.isActive, "error": str(query.exception()) if query.exception() else None, **known}
+
+
+def clean_uploads(uploads: Versions, parts: Versions, before: datetime) -> dict[str, int]:
+    """Drop uploads begun before a moment, with their parts; how many, and the bytes they held."""
+    gone = materialise(abandoned(uploads.read(), current_parts(parts.read()), before))
+    report = gone.agg(F.count(F.lit(1)).alias("uploads"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first().asDict()
+    if report["uploads"]:
+        left, rest = without(uploads.read(), parts.read(), gone)
+        parts.commit(rest)
+        uploads.commit(left)
+    return report

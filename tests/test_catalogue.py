@@ -31,6 +31,7 @@ def test_prefix_and_children(spark):
     assert keys(L.page(df, 2)) == ["phot", "zz.txt"]
     assert keys(L.page(df, 2, after=("", "zz.txt"))) == ["docs/readme.md", "photos/a.jpg"]
     assert sorted(keys(L.children(df, "photos"))) == ["photos/a.jpg", "photos/b.jpg"] and sorted(keys(L.children(df, ""))) == ["phot", "zz.txt"]
+    assert [r.key for r in L.stream(df, "photos/", ("photos/", "a.jpg"))] == ["photos/b.jpg", "photos/sub/c.jpg"]
     with pytest.raises(ValueError):
         L.page(df, 0)
 

@@ -85,3 +85,6 @@ def test_scalars(spark):
     assert one(spark, "<a&'\">", S.xml_escape) == "&lt;a&amp;&apos;&quot;&gt;"
     assert [one(spark, n, S.readers_for, "long") for n in (1, 524288, 524289, 1048577, 8388609)] == [32, 32, 16, 8, 1]
     assert [one(spark, r, S.byte_budget_for, "double") for r in (None, 10.0, 1e12)] == [50 << 20, 1200, 50 << 30]
+    assert [one(spark, k, S.names_a_file) for k in ("a/b", "", "/a", "a/../b", ".shelfmark/x", None, "a..b")] == [True, False, False, False, False, False, True]
+    rate = lambda *v: spark.createDataFrame([v], "s double, d int, t int, e double").select(S.extrapolated_rate(F.col("s"), F.col("d"), F.col("t"), F.col("e"))).collect()[0][0]
+    assert [rate(100.0, 1, 2, 10.0), rate(100.0, 0, 2, 10.0), rate(100.0, 1, 2, 0.0), rate(100.0, 0, 0, 1.0)] == [20.0, 10.0, None, None]

@@ -45,6 +45,16 @@ def test_hashing_files(spark, tmp_path):
     assert S.valid_key("a/b") and not any(S.valid_key(k) for k in ("", "/a", "a/../b", ".shelfmark/x", None))
 
 
+def test_writing_and_removing_files(spark, tmp_path):
+    os.symlink("/tmp", tmp_path / "out")
+    rows = spark.createDataFrame([("b", "d/x", b"1"), ("b", "../y", b"2"), ("b", "out/z", b"3"), ("b", "", b"4")], "bucket string, key string, content binary")
+    done = {r.key: r.written for r in S.written(rows, str(tmp_path)).collect()}
+    assert done == {"d/x": True, "../y": False, "out/z": False, "": False}
+    assert (tmp_path / "d" / "x").read_bytes() == b"1" and not os.path.exists("/tmp/z")
+    gone = {r.key: r.removed for r in S.removed(spark.createDataFrame([("b", "d/x"), ("b", "none"), ("b", "../y")], "bucket string, key string"), str(tmp_path)).collect()}
+    assert gone == {"d/x": True, "none": True, "../y": False} and not (tmp_path / "d" / "x").exists()
+
+
 def test_rescan(spark, tmp_path):
     tree(tmp_path, keep="1", edit="2", move="33", gone="4")
     before = spark.createDataFrame(listed(spark, tmp_path).toPandas(), S.SCHEMA)
@@ -132,6 +142,21 @@ def test_delivery_retries_and_logs(spark, tmp_path):
     assert sorted((r.id, r.status) for r in log) == [("v/1/1", "delivered"), ("w/1/1", "failed"), ("w/1/2", "failed"), ("w/1/3", "failed")]
 
 
+def test_cleaning_and_progress(spark, tmp_path):
+    from datetime import datetime
+
+    uploads, parts = Versions(spark, str(tmp_path / "u")), Versions(spark, str(tmp_path / "p"))
+    uploads.commit(spark.createDataFrame([("b", "old", "k", datetime(2025, 1, 1)), ("b", "new", "k", datetime(2025, 3, 1))], "bucket string, id string, key string, initiated_at timestamp"))
+    parts.commit(spark.createDataFrame([("old", 1, "e", datetime(2025, 1, 1), "p", 5), ("new", 1, "e", datetime(2025, 1, 1), "q", 7)], "upload_id string, part_number int, etag string, uploaded_at timestamp, id string, size long"))
+    assert jobs.clean_uploads(uploads, parts, datetime(2025, 2, 1)) == {"uploads": 1, "bytes": 5}
+    assert jobs.clean_uploads(uploads, parts, datetime(2025, 2, 1)) == {"uploads": 0, "bytes": 0}
+    assert [r.id for r in uploads.read().collect()] == ["new"] and [r.upload_id for r in parts.read().collect()] == ["new"]
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    query = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.foreachBatch(lambda b, n: b.count()).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert (jobs.progress(query)["running"], jobs.progress(query)["numInputRows"], jobs.progress(query)["error"]) == (False, 3, None)
+
+
 def test_batches_until_nothing_is_pending(spark, tmp_path):
     from shelfmark.operators.catalogue import enriched
 
