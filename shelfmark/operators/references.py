@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.values import month_of, month_text
-from shelfmark.operators.skew import fragment_join
+from shelfmark.operators.skew import FEW_KEYS, semi_join
 from shelfmark.session import materialise
 
 
@@ -107,7 +107,7 @@ def orphan_report(references: Sequence[Reference]) -> DataFrame:
     )
 
 
-def orphans(references: Sequence[Reference], few: int = 50_000) -> DataFrame:
+def orphans(references: Sequence[Reference], few: int = FEW_KEYS) -> DataFrame:
     """Distinct (child_table, child_id, period_month) of the references orphan_keys finds.
 
     Children meet their orphan keys again. Those are counted: up to `few` are sent to the tasks, and
@@ -116,5 +116,5 @@ def orphans(references: Sequence[Reference], few: int = 50_000) -> DataFrame:
     children = reduce(DataFrame.unionByName, [_children(r) for r in references]).drop("parent_table")
     on = ["child_table", "scope", "key", "month"]
     lost = materialise(orphan_keys(references).select(*on))
-    found = children.join(F.broadcast(lost), on, "left_semi") if lost.count() <= few else fragment_join(children, lost, on, "left_semi")
+    found = semi_join(children, lost, on, few)
     return found.select("child_table", "child_id", month_text(F.col("month")).alias("period_month")).distinct()

@@ -139,6 +139,21 @@ def fragment_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return a.join(b, [task, *keys], how).drop(task)
 
 
+#: So many keys are sent to all tasks at most.
+FEW_KEYS = 50_000
+
+
+def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], few: int = FEW_KEYS) -> DataFrame:
+    """Rows of left whose keys are in right, a table that was written already.
+
+    right is counted: up to `few` rows go to the tasks, so that left stays where it is; beyond that
+    left's large keys are split over tasks.
+    """
+    if right.count() <= few:
+        return left.join(F.broadcast(right.select(*keys)), list(keys), "left_semi")
+    return fragment_join(left, right.select(*keys), keys, "left_semi")
+
+
 def _combine(keys: list[str], weight: str, rows: int = 1 << 19):
     """Batches of rows, summed by keys before they are shuffled."""
 
