@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.skew import fragment_join
+from shelfmark.operators.skew import fragment_join, semi_join
 from shelfmark.session import materialise
 
 # Letters of Cyrillic, Greek and Armenian that look like the Latin letter before them.
@@ -279,15 +279,16 @@ def look_classes(found: DataFrame) -> DataFrame:
 def look_pairs(found: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs (a, b), a < b, of items whose texts differ but look the same; found is what looks gives.
 
-    Spellings of a look pair up first, one row for each however often it is copied. The rarer spelling
+    Looks of one spelling only are left out at once. Spellings of a look then pair up, one row for each
+    however often it is copied. The rarer spelling
     of a pair then gets its items, and the items of the more frequent one are split over tasks by load.
     Copies of one spelling never meet, and no row is made that is not a result. Empty texts look like
     texts of ignorable characters only.
     """
     found = materialise(found)
-    counts = found.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.groupBy("look").agg(F.count(F.lit(1)).alias("spellings")).filter("spellings > 1")
-    spellings = materialise(counts.join(several.select("look"), "look"))
+    several = found.groupBy("look").agg(F.min("raw").alias("first"), F.max("raw").alias("last")).filter("first <> last")
+    found = materialise(semi_join(found, materialise(several.select("look")), ["look"]))
+    spellings = materialise(found.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n")))
     more, less = spellings.select("look", "raw", "n"), spellings.select("look", F.col("raw").alias("raw_b"), F.col("n").alias("n_b"))
     pairs = more.join(less, "look").filter((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("raw") > F.col("raw_b")))).drop("n", "n_b")
     rare = fragment_join(found.select("look", F.col("raw").alias("raw_b"), F.col("item").alias("item_b")), pairs, ["look", "raw_b"], shard_by=["item_b"])
