@@ -1,4 +1,7 @@
-"""Queries of a catalogue: duplicates, directories, listings, statistics, scans, uploads, tags and events."""
+"""Queries of a catalogue: duplicates, directories, listings, statistics, scans, uploads, tags and events.
+
+Integers that are unknown, such as sizes of files not yet stat'ed, are -1 in results.
+"""
 
 from __future__ import annotations
 
@@ -75,7 +78,7 @@ def dup_members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dup_first_size(spark: SparkSession, folder: str) -> DataFrame:
-    return U.first_sizes(catalogue(spark, folder, "prefix", "name", "checksum_sha256", "size"))
+    return U.first_sizes(catalogue(spark, folder, "prefix", "name", "checksum_sha256", "size")).fillna(-1, ["size"])
 
 
 def dup_page(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,15 +182,15 @@ def list_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_delimiter(spark: SparkSession, folder: str) -> DataFrame:
-    return L.entries(catalogue(spark, folder, "key", "size"))
+    return L.entries(catalogue(spark, folder, "key", "size")).fillna(-1, ["size"])
 
 
 def list_delimiter_below(spark: SparkSession, folder: str) -> DataFrame:
-    return L.entries(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), "archive/", "-0")
+    return L.entries(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), "archive/", "-0").fillna(-1, ["size"])
 
 
 def list_entries_page(spark: SparkSession, folder: str) -> DataFrame:
-    return L.entries_page(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), 50, "archive/", "/", L.encode_token("archive/delta/"))
+    return L.entries_page(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), 50, "archive/", "/", L.encode_token("archive/delta/")).fillna(-1, ["size"])
 
 
 def list_by_parent(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +207,7 @@ def list_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 def get_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Objects of the catalogue that the event feed says exist, by key."""
-    return p1_found(spark, folder).select("bucket", F.col("object_key").alias("key")).join(catalogue(spark, folder, "key", "size", "scan_level"), ["bucket", "key"]).select("bucket", "key", "id", "size", "scan_level")
+    return p1_found(spark, folder).select("bucket", F.col("object_key").alias("key")).join(catalogue(spark, folder, "key", "size", "scan_level"), ["bucket", "key"]).select("bucket", "key", "id", "size", "scan_level").fillna(-1, ["size"])
 
 
 def get_by_inode(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,7 +274,7 @@ def l1_next(spark: SparkSession, folder: str) -> DataFrame:
     old, disk = listings(spark, folder)
     held = old.withColumns({"id": F.sha2(F.concat_ws("/", "bucket", "key"), 256), "scan_level": F.lit(2), "created_at_ns": F.lit(0).cast("long"), "last_modified_ns": F.lit(0).cast("long")})
     after = C.next_catalogue(held, disk, C.classify(held, disk), NOW_NS)
-    return after.select("bucket", "key", "id", "size", "inode", "scan_level", "last_modified_ns")
+    return after.select("bucket", "key", "id", "size", "inode", "scan_level", "last_modified_ns").fillna(-1, ["size", "inode"])
 
 
 def _written(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,7 +286,7 @@ def _written(spark: SparkSession, folder: str) -> DataFrame:
 
 def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
     old = catalogue(spark, folder, "key", "created_at_ns", "size", "etag").select("bucket", "key", "id", "created_at_ns", "size", "etag")
-    return C.upsert(old, _written(spark, folder), ["bucket", "key"], ["event_time", "event_id"])
+    return C.upsert(old, _written(spark, folder), ["bucket", "key"], ["event_time", "event_id"]).fillna(-1, ["size"])
 
 
 def delete_anti(spark: SparkSession, folder: str) -> DataFrame:
@@ -312,7 +315,7 @@ def rename_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 def enrich_monotone(spark: SparkSession, folder: str) -> DataFrame:
     last = _written(spark, folder).groupBy("bucket", "key").agg(F.max_by(F.struct("size", "etag"), F.struct("event_time", "event_id")).alias("u"))
-    return C.enriched(catalogue(spark, folder, "key", "size", "etag", "scan_level"), last.select("bucket", "key", "u.*"), 2).select("bucket", "key", "size", "etag", "scan_level")
+    return C.enriched(catalogue(spark, folder, "key", "size", "etag", "scan_level"), last.select("bucket", "key", "u.*"), 2).select("bucket", "key", "size", "etag", "scan_level").fillna(-1, ["size"])
 
 
 def reset_level(spark: SparkSession, folder: str) -> DataFrame:
@@ -322,7 +325,7 @@ def reset_level(spark: SparkSession, folder: str) -> DataFrame:
 def copy_apply(spark: SparkSession, folder: str) -> DataFrame:
     rows = catalogue(spark, folder, *PLACE, "size", "checksum_sha256", "created_at_ns", "last_modified_ns", where=F.col("prefix").startswith("shared/"))
     asked = rows.filter(F.col("prefix").startswith("shared/")).select("bucket", "key", F.lit("copies").alias("to_bucket"), F.concat("bucket", F.lit("/"), "key").alias("to_key"))
-    return C.copies(rows, asked, NOW_NS).select("bucket", "key", "prefix", "name", "id", "size", "checksum_sha256")
+    return C.copies(rows, asked, NOW_NS).select("bucket", "key", "prefix", "name", "id", "size", "checksum_sha256").fillna(-1, ["size"])
 
 
 def merge_plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -431,7 +434,7 @@ def cors_match(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("value") > 50, F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com"))).otherwise("http://plain").alias("origin"),
         F.when(F.col("event_type") == "click", "GET").when(F.col("event_type") == "error", "HEAD").otherwise("PUT").alias("method"),
     )
-    return M.first_rule(asked, rules).select("event_id", "rule")
+    return M.first_rule(asked, rules).select("event_id", "rule").fillna(-1, ["rule"])
 
 
 def conditional_get(spark: SparkSession, folder: str) -> DataFrame:

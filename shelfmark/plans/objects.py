@@ -33,7 +33,7 @@ def multipart_complete(spark: SparkSession, folder: str) -> DataFrame:
 
 def multipart_objects(spark: SparkSession, folder: str) -> DataFrame:
     """The objects that putting uploads together makes."""
-    return _completed(spark, folder)[0].select("bucket", "key", "id", "size", "etag", "content_type")
+    return _completed(spark, folder)[0].select("bucket", "key", "id", "size", "etag", "content_type").fillna(-1, ["size"])
 
 
 def _completed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +54,7 @@ def parts_page(spark: SparkSession, folder: str) -> DataFrame:
     """The first parts of the upload with most part numbers, after number 5."""
     parts = P.current_parts(table(spark, folder, "parts").withColumn("upload_id", canonical_uuid(F.col("upload_id"))).filter("upload_id is not null"))
     top = parts.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "upload_id").first()
-    return P.parts_page(parts, top.upload_id if top else "", 20, 5).select("upload_id", "part_number", "etag", "size")
+    return P.parts_page(parts, top.upload_id if top else "", 20, 5).select("upload_id", "part_number", "etag", "size").fillna(-1, ["size"])
 
 
 def head_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +84,7 @@ def dirs_stored(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.operators.duplicates import directory_hashes
 
     hashes = directory_hashes(catalogue(spark, folder, "prefix", "name", "checksum_sha256", "size")).filter("dir_hash is not null")
-    return O.with_stored_hashes(directories(spark, folder), hashes).select("bucket", "prefix", "dir_hash", "file_count", "total_size", "stale")
+    return O.with_stored_hashes(directories(spark, folder), hashes).select("bucket", "prefix", "dir_hash", "file_count", "total_size", "stale").fillna(-1, ["file_count", "total_size"])
 
 
 def query_strings(spark: SparkSession, folder: str) -> DataFrame:

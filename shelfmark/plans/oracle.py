@@ -95,6 +95,6 @@ where g.n >= 0.03 * (select count(*) from contents)
 """
 
 SQL["p5_members"] = _CONTENTS + """
-select c.content_hash, c.id, c.key, s.size as group_size, g.n as group_rows
+select c.content_hash, c.id, c.key, coalesce(s.size, -1) as group_size, g.n as group_rows
 from contents c join groups g using (content_hash) left join sizes s using (content_hash) where g.n > 1
 """

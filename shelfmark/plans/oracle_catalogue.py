@@ -237,3 +237,9 @@ SQL["date_texts"] = "select distinct epoch_us(event_time) as event_us, strftime(
 SQL["byte_ranges"] = CAT + """, h as (select id, size, unnest(['bytes=0-' || size // 2, 'bytes=1024-', 'bytes=-1024']) as header, unnest([1, 2, 3]) as k from cat where size is not null)
 select id, header, case k when 1 then 0 when 2 then 1024 else greatest(size - 1024, 0) end::bigint as first, case k when 1 then size // 2 else size - 1 end::bigint as last from h
 """
+
+#: Integers that may be unknown: -1 stands for that in results, so that they stay integers everywhere.
+UNKNOWN = {"dup_first_size": ["size"], "list_delimiter": ["size"], "list_delimiter_below": ["size"], "list_entries_page": ["size"], "get_objects": ["size"], "l1_next": ["size", "inode"], "upsert_latest": ["size"], "enrich_monotone": ["size"], "copy_apply": ["size"], "cors_match": ["rule"]}
+
+for _name, _columns in UNKNOWN.items():
+    SQL[_name] = f"select * replace ({', '.join(f'coalesce({c}, -1) as {c}' for c in _columns)}) from ({SQL[_name]})"

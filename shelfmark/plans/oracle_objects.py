@@ -37,3 +37,9 @@ SQL["query_strings"] = CAT + "select bucket, prefix, 'acl=&delimiter=%2F&list-ty
 SQL["link_expiry"] = """
 select distinct id, strftime(recorded_at at time zone 'UTC', '%Y%m%dT%H%M%SZ') as signed, floor(epoch_us(deleted_at) / 1000000) - floor(epoch_us(recorded_at) / 1000000) > 86400 as expired from multipart_uploads where deleted_at is not null
 """
+
+#: Integers that may be unknown: -1 stands for that in results, so that they stay integers everywhere.
+UNKNOWN = {"dirs_stored": ["file_count", "total_size"], "multipart_objects": ["size"], "parts_page": ["size"]}
+
+for _name, _columns in UNKNOWN.items():
+    SQL[_name] = f"select * replace ({', '.join(f'coalesce({c}, -1) as {c}' for c in _columns)}) from ({SQL[_name]})"

@@ -107,7 +107,7 @@ def p5_members(spark: SparkSession, folder: str) -> DataFrame:
     """Each object row of a content with copies, with the size of its duplicate group."""
     groups = content_groups(spark, folder).filter("n > 1").select("content_hash", F.col("size").alias("group_size"), F.col("n").alias("group_rows"))
     rows = contents(spark, folder).select("content_hash", "id", "key")
-    return fragment_join(rows, groups, ["content_hash"])
+    return fragment_join(rows, groups, ["content_hash"]).fillna(-1, ["group_size"])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_report, p4_found, p4_report, p5_found, p5_members)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from typing import Optional
@@ -31,14 +32,16 @@ def local_session(cores: int = 8, partitions: Optional[int] = None, memory: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else one of our own.
 
-    A cluster names it in the session's settings. Only where that is unset, as in tests on one
-    machine, is a temporary folder made and set.
+    A cluster names it in the session's settings. Only where that is unset and all runs in one
+    process, as in tests, is a temporary folder made and set; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="shelfmark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -48,7 +51,7 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     It is for results that several branches of a plan read, or whose rows depend on how they
-    were partitioned. The files outlive any executor; they go when the session's Python ends.
+    were partitioned. The files outlive any executor; they go with release(), or when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
@@ -68,8 +71,10 @@ def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
 
 
 @atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Delete all tables written by materialise so far; no DataFrame that reads them can be used any more."""
+    while _written:
+        spark, path = _written.pop()
         try:
             if spark.sparkContext._jsc is not None:
                 hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
