@@ -40,10 +40,10 @@ def with_content_type(df: DataFrame, name: str, out: str = "content_type") -> Da
 
 
 def human_size(size: Column) -> Column:
-    """'1.5 KB': bytes in the largest unit up to GB that is reached, by 1024, with one decimal."""
+    """'1.5 KB': bytes in the largest unit up to GB that is reached, by 1024, with one decimal, ties to even."""
 
     def unit(n: int, name: str) -> Column:
-        return F.format_string(f"%.1f {name}", size / F.lit(float(n)))
+        return F.format_string(f"%.1f {name}", F.bround(size / F.lit(float(n)), 1))
 
     return (
         F.when(size >= 1 << 30, unit(1 << 30, "GB"))

@@ -68,7 +68,7 @@ def test_keys_and_times(spark):
 
 
 def test_scalars(spark):
-    assert [one(spark, n, S.human_size, "long") for n in (0, 1023, 1024, 1536, 5 << 20, 3 << 30, None)] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB", "3.0 GB", None]
+    assert [one(spark, n, S.human_size, "long") for n in (0, 1023, 1024, 1536, 2304, 2408, 5 << 20, 3 << 30, None)] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "2.2 KB", "2.4 KB", "5.0 MB", "3.0 GB", None]
     assert [one(spark, t, S.duration_seconds) for t in ("90s", " 30m ", "1h", "7d", "", "x", "1.5h", "9")] == [90, 1800, 3600, 604800, None, None, None, None]
     assert [one(spark, t, S.bucket_name) for t in ("Photos", "My Photos", "ab", "/x/Hello__World..v2/", "---", "Ünï")] == ["photos", "my-photos", "ab-bucket", "hello-world.v2", "bucket", "n-bucket"]
     assert [one(spark, t, S.bucket_name_problem) for t in ("good-name.1", "ab", "1.2.3.4", "Bad", "-bad", "a..b", "999.1.1.1")] == [None, "invalid_length", "looks_like_ip_address", "invalid_characters", "invalid_start_end", "consecutive_hyphens_or_periods", None]
