@@ -63,21 +63,22 @@ def stat(table: Versions, root: str, bucket: str, depth: int = 1) -> int:
 
 
 def digest(table: Versions, root: str, bucket: str, budget: int = 50 << 30, most: int = 10_000) -> int:
-    """Level 3: digests of the next files, up to a budget of bytes; how many were hashed, 0 when there is nothing left to do.
+    """Level 3: digests of the next files, up to a budget of bytes; how many files were dealt with, 0 when there is nothing left to do.
 
-    Files that changed while they were read, or since they were stat'ed, get nothing and go back to level 1.
+    Files that changed while they were read, or since they were stat'ed, get nothing and go back to level 1,
+    and so do those that can't be read, are gone, or became links: no file of a batch comes back in the next.
     """
     held = table.read()
-    batch = byte_budget(held.filter((F.col("bucket") == bucket) & (F.col("scan_level") == 2)), 3, budget, most).select("bucket", "key")
-    found = materialise(hashed(batch, root))
-    count = found.count()
+    batch = materialise(byte_budget(held.filter((F.col("bucket") == bucket) & (F.col("scan_level") == 2)), 3, budget, most).select("bucket", "key"))
+    count = batch.count()
     if not count:
         return 0
+    found = materialise(hashed(batch, root))
     times = held.select("bucket", "key", F.col("file_mtime_ns").alias("_t"))
     whole = found.join(times, ["bucket", "key"]).filter(F.col("checksum_sha256").isNotNull() & F.col("mtime_ns").eqNullSafe(F.col("_t")))
     digests = whole.select("bucket", "key", "etag", "checksum_sha256", "checksum_sha1", "checksum_crc32", "checksum_crc32c", "size")
     after = enriched(held, digests, 3)
-    odd = found.join(digests, ["bucket", "key"], "left_anti").select("bucket", "key", F.lit(True).alias("_odd"))
+    odd = batch.join(digests, ["bucket", "key"], "left_anti").select("bucket", "key", F.lit(True).alias("_odd"))
     after = after.join(odd, ["bucket", "key"], "left").withColumn("scan_level", F.when(F.col("_odd"), 1).otherwise(F.col("scan_level")).cast("int"))
     table.commit(after.select(*held.columns))
     return count

@@ -88,3 +88,27 @@ def test_a_file_changed_since_its_stat_goes_back(spark, tmp_path):
     os.utime(root / "a", ns=(5, 5))
     assert scan.digest(table, str(root), "b") == 1
     assert (rows(table)["a"].scan_level, rows(table)["a"].checksum_sha256) == (1, None)
+
+
+def test_files_gone_since_their_stat_hold_nothing_up(spark, tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    write(root, a="1", b="2", c="3", d__e="4")
+    table, dirs = Versions(spark, str(tmp_path / "t")), Versions(spark, str(tmp_path / "d"))
+    stat = scan.stat
+
+    def then_gone(*args):
+        found = stat(*args)
+        os.remove(root / "a")
+        os.remove(root / "b")
+        os.symlink("c", root / "b")
+        return found
+
+    budget = scan.byte_budget
+    monkeypatch.setattr(scan, "stat", then_gone)
+    monkeypatch.setattr(scan, "byte_budget", lambda files, level, size, most: budget(files, level, size, 1))
+    scan.refresh(table, dirs, str(root), "b")
+    assert {k: (r.scan_level, r.checksum_sha256 is None) for k, r in rows(table).items()} == {"a": (1, True), "b": (1, True), "c": (3, False), "d/e": (3, False)}
+    assert [r.dir_hash is None for r in dirs.read().collect()] == [False]
+    monkeypatch.undo()
+    scan.refresh(table, dirs, str(root), "b")
+    assert {k: (r.scan_level, r.is_symlink) for k, r in rows(table).items()} == {"b": (3, True), "c": (3, False), "d/e": (3, False)}
