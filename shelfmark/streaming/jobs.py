@@ -128,17 +128,27 @@ def live(table: Versions) -> DataFrame:
     return table.read().filter("not removed").select("bucket", "object_key", "object_id")
 
 
-def pending_batches(read: Callable[[], DataFrame], level: int, step: Callable[[DataFrame], None], budget: int, most: int = 1000) -> int:
+def pending_batches(read: Callable[[], DataFrame], level: int, step: Callable[[DataFrame], None], budget: int) -> int:
     """Call step with batch after batch of files below a level until none is left; how many there were.
 
-    read gives the catalogue as it is now, and step raises the level of its batch there.
+    read gives the catalogue as it is now, and step raises the level of its batch there. Batches go through
+    each bucket in listing order, so a file whose level step does not raise comes once and holds up none
+    behind it. Files that come to lie before the place reached are for the next call.
     """
-    for done in range(most):
-        batch = byte_budget(read(), level, budget)
+    done, reached = 0, None
+    while True:
+        files = read()
+        if reached is not None:
+            beyond = F.col("_reached").isNull() | (F.struct("prefix", "name") > F.col("_reached"))
+            files = files.join(F.broadcast(reached), "bucket", "left").filter(beyond).drop("_reached")
+        batch = materialise(byte_budget(files, level, budget))
         if batch.isEmpty():
             return done
         step(batch)
-    return most
+        done += 1
+        last = batch.select("bucket", F.struct("prefix", "name").alias("_reached"))
+        last = last if reached is None else last.unionByName(reached)
+        reached = materialise(last.groupBy("bucket").agg(F.max("_reached").alias("_reached")))
 
 
 def progress(query: StreamingQuery) -> dict:

@@ -165,3 +165,28 @@ def test_batches_until_nothing_is_pending(spark, tmp_path):
     step = lambda batch: table.commit(enriched(table.read(), batch.select("bucket", "key", "size"), 2))
     assert jobs.pending_batches(table.read, 2, step, 20) == 4
     assert table.read().filter("scan_level < 2").count() == 0
+
+
+def test_batches_go_on_past_1000_and_past_files_that_stay_below(spark, monkeypatch):
+    def pending(n):
+        return spark.range(n).selectExpr("if(id % 2 = 0, 'b', 'c') bucket", "'' prefix", "lpad(id, 5, '0') name", "lpad(id, 5, '0') key", "10L size", "1 scan_level").coalesce(1).cache()
+
+    stuck, seen = pending(5), []
+    assert jobs.pending_batches(lambda: stuck, 2, lambda batch: seen.append(sorted(r.key for r in batch.collect())) if len(seen) < 9 else 1 / 0, 10) == 3
+    assert seen == [["00000", "00001"], ["00002", "00003"], ["00004"]]
+
+    class Batch:
+        def __init__(self, n):
+            self.n = n
+
+        def isEmpty(self):
+            return self.n == 0
+
+        def __getattr__(self, name):
+            return lambda *args, **more: self
+
+    turns, steps = iter(range(1002, -1, -1)), []
+    monkeypatch.setattr(jobs, "byte_budget", lambda *args: Batch(next(turns)))
+    monkeypatch.setattr(jobs, "materialise", lambda df: df)
+    monkeypatch.setattr(jobs.F, "broadcast", lambda df: df)
+    assert jobs.pending_batches(lambda: Batch(1), 2, steps.append, 10) == 1002 == len(steps)
