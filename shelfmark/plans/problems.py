@@ -15,7 +15,7 @@ from shelfmark.sources.tables import table
 
 
 def object_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """object_events that create or remove, with names, keys and ids in one spelling."""
+    """object_events, with names, keys and ids in one spelling."""
     kind = F.regexp_replace(F.lower(F.trim("event_name")), "^s3:", "")
     return (
         table(spark, folder, "object_events")
@@ -27,14 +27,13 @@ def object_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Objects that exist after the last event.
+    """Objects that exist after the last event up to which no number is missing.
 
-    The table is the whole feed, so it is closed: a number missing in it will not come. Tagging events
-    have numbers, and so count for gaps, but change no state.
+    Tagging events have numbers, and so count for gaps, but change no state.
     """
-    changes = object_changes(spark, folder).filter(F.col("kind").startswith("objectcreated") | F.col("kind").startswith("objectremoved"))
-    feed = Feed(["bucket", "object_key"], ["event_time", "event_id"], F.col("kind").startswith("objectremoved"), "event_id")
-    return replay(changes, feed, ["object_id"], closed=True)
+    removes = F.col("kind").startswith("objectremoved")
+    feed = Feed(["bucket", "object_key"], ["event_time", "event_id"], removes, "event_id", effect=F.col("kind").startswith("objectcreated") | removes)
+    return replay(object_changes(spark, folder), feed, ["object_id"])
 
 
 def p1_watermark(spark: SparkSession, folder: str) -> DataFrame:
