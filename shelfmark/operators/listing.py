@@ -8,7 +8,7 @@ each task takes before anything is shuffled.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Optional
 
 from pyspark.sql import Column, DataFrame, Row
@@ -47,44 +47,51 @@ def children(df: DataFrame, directory: str) -> DataFrame:
     return df.filter(F.col("prefix") == (f"{directory.rstrip('/')}/" if directory else ""))
 
 
-def entries(df: DataFrame, prefix: str = "", delimiter: str = "/") -> DataFrame:
-    """(kind, entry, size) of what is under prefix: objects, and common prefixes for keys with the delimiter after it.
+def entries(df: DataFrame, prefix: str = "", delimiter: str = "/", within: Sequence[str] = ()) -> DataFrame:
+    """(within, kind, entry, size) of what is under prefix: objects, and common prefixes for keys with the delimiter after it.
 
     A common prefix has the size of nothing. Without a delimiter all are objects. Null keys are left out.
+    Entries of buckets stay apart where within has the bucket, else equal ones are one.
     """
     rows = df.filter(F.col("key").isNotNull() & under(F.col("key"), prefix))
     if not delimiter:
-        return rows.select(F.lit("object").alias("kind"), F.col("key").alias("entry"), "size")
+        return rows.select(*within, F.lit("object").alias("kind"), F.col("key").alias("entry"), "size")
     rest = F.substring(F.col("key"), len(prefix) + 1, 1 << 30)
     at = F.instr(rest, delimiter)
     rolled = rows.select(
+        *within,
         F.when(at > 0, "prefix").otherwise("object").alias("kind"),
         F.when(at > 0, F.left(F.col("key"), F.lit(len(prefix)) + at + len(delimiter) - 1)).otherwise(F.col("key")).alias("entry"),
         F.when(at == 0, F.col("size")).alias("size"),
     )
-    return rolled.groupBy("kind", "entry").agg(F.max("size").alias("size"))
+    return rolled.groupBy(*within, "kind", "entry").agg(F.max("size").alias("size"))
 
 
-def entries_page(df: DataFrame, limit: int, prefix: str = "", delimiter: str = "/", token: Optional[str] = None) -> DataFrame:
-    """A page of entries in bytewise order after that of token, and has_more on each row.
+def entries_page(df: DataFrame, limit: int, prefix: str = "", delimiter: str = "/", token: Optional[str] = None, within: Sequence[str] = ()) -> DataFrame:
+    """A page of entries in bytewise order of within and entry after that of token, and has_more on each row.
 
     Pages are cut from rolled-up entries, so an entry is on one page only and none is lost between two.
-    Keys below the last common prefix are skipped by the scan already.
+    Keys below the last common prefix are skipped by the scan already. A token is made of the last row's
+    entry, and of its values of within before that; one made of fewer is ignored.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
     last = decode_token(token)
-    if last is not None:
+    if last is not None and last.count("\0") >= len(within):
+        *place, last = last.split("\0", len(within))
         below = F.col("key").startswith(last) if delimiter and last.endswith(delimiter) else F.lit(False)
-        df = df.filter((F.col("key") > last) & ~below)
-    found = entries(df, prefix, delimiter).orderBy("entry", "kind").limit(limit + 1)
-    numbered = found.agg(F.array_sort(F.collect_list(F.struct("entry", "kind", "size"))).alias("all"))  # at most limit + 1 rows
-    return numbered.select(F.explode(F.slice("all", 1, limit)).alias("e"), (F.size("all") > limit).alias("has_more")).select("e.kind", "e.entry", "e.size", "has_more")
-
-
-def encode_token(text: str) -> str:
-    """A continuation token for an entry."""
-    return base64.b64encode(text.encode()).decode()
+        after = (F.col("key") > last) & ~below
+        for c, v in reversed(list(zip(within, place))):
+            after = (F.col(c) > v) | ((F.col(c) == v) & after)
+        df = df.filter(after)
+    found = entries(df, prefix, delimiter, within).orderBy(*within, "entry", "kind").limit(limit + 1)
+    numbered = found.agg(F.array_sort(F.collect_list(F.struct(*within, "entry", "kind", "size"))).alias("all"))  # at most limit + 1 rows
+    return numbered.select(F.explode(F.slice("all", 1, limit)).alias("e"), (F.size("all") > limit).alias("has_more")).select(*[f"e.{c}" for c in within], "e.kind", "e.entry", "e.size", "has_more")
+
+
+def encode_token(text: str, *place: str) -> str:
+    """A continuation token for an entry, and for the values of within it has."""
+    return base64.b64encode("\0".join((*place, text)).encode()).decode()
 
 
 def decode_token(token: Optional[str]) -> Optional[str]:

@@ -193,6 +193,20 @@ def list_entries_page(spark: SparkSession, folder: str) -> DataFrame:
     return L.entries_page(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), 50, "archive/", "/", L.encode_token("archive/delta/")).fillna(-1, ["size"])
 
 
+def list_bucket_delimiter(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of each bucket's own root; list_delimiter makes equal ones of all buckets one."""
+    return L.entries(catalogue(spark, folder, "key", "size"), within=["bucket"]).fillna(-1, ["size"])
+
+
+def list_bucket_delimiter_below(spark: SparkSession, folder: str) -> DataFrame:
+    return L.entries(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), "archive/", "-0", ["bucket"]).fillna(-1, ["size"])
+
+
+def list_bucket_entries_page(spark: SparkSession, folder: str) -> DataFrame:
+    rows = catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/"))
+    return L.entries_page(rows, 50, "archive/", "/", L.encode_token("archive/delta/", "field-notes"), ["bucket"]).fillna(-1, ["size"])
+
+
 def list_by_parent(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue(spark, folder, "prefix", "name").groupBy("bucket", "prefix").agg(F.count(F.lit(1)).alias("files"), F.min("name").alias("first_name"))
 
@@ -501,7 +515,7 @@ QUERIES = {
     for f in (
         dup_groups, dup_members, dup_first_size, dup_page, dup_page2, dup_key_contains, dup_key_depth, dup_cross_bucket, bucket_stats,
         dir_hashes, dup_dirs, dup_dirs_members, dup_dirs_prefix, dup_dirs_min_files, dup_dirs_page, compare_dirs, compare_buckets, compare_summary,
-        list_flat, list_prefix, list_page, list_keys, list_delimiter, list_delimiter_below, list_entries_page, list_by_parent, list_root, list_buckets, get_objects, get_by_inode,
+        list_flat, list_prefix, list_page, list_keys, list_delimiter, list_delimiter_below, list_entries_page, list_bucket_delimiter, list_bucket_delimiter_below, list_bucket_entries_page, list_by_parent, list_root, list_buckets, get_objects, get_by_inode,
         count_objects, scan_status, remaining, at_level_3, below_level_page, byte_budget, upload_throughput,
         l1_classify, l1_moves, l1_stale, l1_report, l1_next, upsert_latest, delete_anti, bulk_delete, rename_apply, rename_outcomes, enrich_monotone, reset_level, copy_apply, merge_plan, stale_dirs,
         integrity_reasons, integrity_rollup, tags_get, tags_limits, multipart_etag, multipart_check, multipart_list, abandoned_uploads, webhook_match, cors_match, conditional_get,

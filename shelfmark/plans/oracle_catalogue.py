@@ -85,6 +85,15 @@ ent as (select kind, entry, max(size) as size from rolled group by 1, 2)
 SQL["list_delimiter"] = _ROLL.format(p="", n=0, d="/") + "select * from ent"
 SQL["list_delimiter_below"] = _ROLL.format(p="archive/", n=8, d="-0") + "select * from ent"
 SQL["list_entries_page"] = _ROLL.format(p="archive/", n=8, d="/") + ", later as (select * from ent where entry > 'archive/delta/' order by entry limit 51) select kind, entry, size, (select count(*) > 50 from later) as has_more from later order by entry limit 50"
+_BUCKET_ROLL = CAT + """, ent as (
+  select bucket, case when contains(r, '{d}') then 'prefix' else 'object' end as kind, case when contains(r, '{d}') then '{p}' || split_part(r, '{d}', 1) || '{d}' else key end as entry,
+    coalesce(max(size) filter (where not contains(r, '{d}')), -1) as size
+  from (select bucket, key, size, substr(key, length('{p}') + 1) as r from cat where starts_with(key, '{p}')) group by 1, 2, 3)
+"""
+SQL["list_bucket_delimiter"] = _BUCKET_ROLL.format(p="", d="/") + "select * from ent"
+SQL["list_bucket_delimiter_below"] = _BUCKET_ROLL.format(p="archive/", d="-0") + "select * from ent"
+SQL["list_bucket_entries_page"] = _BUCKET_ROLL.format(p="archive/", d="/") + """, later as (select * from ent where (bucket, entry) > ('field-notes', 'archive/delta/') order by bucket, entry limit 51)
+select bucket, kind, entry, size, (select count(*) > 50 from later) as has_more from later order by bucket, entry limit 50"""
 SQL["list_by_parent"] = CAT + "select bucket, prefix, count(*) as files, min(name) as first_name from cat group by 1, 2"
 SQL["list_root"] = CAT + "select bucket, id, key from cat where prefix = ''"
 SQL["list_buckets"] = "select distinct bucket from objects"

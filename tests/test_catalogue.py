@@ -55,6 +55,20 @@ def test_pages_of_entries_lose_and_repeat_nothing(spark):
     assert L.entries_page(df, 5, "none/").collect() == []
 
 
+def test_entries_of_buckets_stay_apart(spark):
+    b = files(spark, [("a", "h", 1), ("d/x", "h", 2), ("e", "h", 3)])
+    df = b.unionByName(files(spark, [("a", "h", 9), ("d/y", "h", 4)]).withColumn("bucket", F.lit("c")))
+    wanted = [("b", "a", 1), ("b", "d/", None), ("b", "e", 3), ("c", "a", 9), ("c", "d/", None)]
+    assert sorted((r.bucket, r.entry, r["size"] or None) for r in L.entries(df, within=["bucket"]).collect()) == wanted
+    assert sorted((r.bucket, r.entry) for r in L.entries(df, delimiter="", within=["bucket"]).collect()) == [("b", "a"), ("b", "d/x"), ("b", "e"), ("c", "a"), ("c", "d/y")]
+    seen, token = [], None
+    while token is None or rows[0].has_more:
+        rows = L.entries_page(df, 2, token=token, within=["bucket"]).collect()
+        seen += [(r.bucket, r.entry, r["size"]) for r in sorted(rows, key=lambda r: (r.bucket, r.entry))]
+        token = L.encode_token(seen[-1][1], seen[-1][0])
+    assert seen == wanted
+
+
 def test_groups(spark):
     df = files(spark, [("a/1", "h", 5), ("b/1", "h", 5), ("c/deep/er/1", "h", 5), ("d", "u", 1), ("e", None, 3), ("f", None, 3), ("n1", "z", None), ("n2", "z", None)])
     assert sorted((r.checksum_sha256, r.files, r.total_size, r.wasted_size) for r in U.groups(df).collect()) == [("h", 3, 15, 10), ("z", 2, 0, 0)]
