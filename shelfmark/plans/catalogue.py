@@ -158,6 +158,13 @@ def compare_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return U.compare(side("field-notes"), side("scan-archive"), ["name"])
 
 
+def compare_buckets_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one bucket against those of another, by their path below the root; compare_buckets has one row for all files of a name."""
+    rows = catalogue(spark, folder, "key", "checksum_sha256", where=F.col("bucket").isin("field-notes", "scan-archive") & F.col("key").isNotNull())
+    side = lambda b: rows.filter(F.col("bucket") == b).groupBy("key").agg(F.min("checksum_sha256").alias("checksum_sha256"))
+    return U.compare(side("field-notes"), side("scan-archive"), ["key"])
+
+
 def compare_summary(spark: SparkSession, folder: str) -> DataFrame:
     return U.compare_summary(compare_dirs(spark, folder), ["bucket"])
 
@@ -514,7 +521,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dup_groups, dup_members, dup_first_size, dup_page, dup_page2, dup_key_contains, dup_key_depth, dup_cross_bucket, bucket_stats,
-        dir_hashes, dup_dirs, dup_dirs_members, dup_dirs_prefix, dup_dirs_min_files, dup_dirs_page, compare_dirs, compare_buckets, compare_summary,
+        dir_hashes, dup_dirs, dup_dirs_members, dup_dirs_prefix, dup_dirs_min_files, dup_dirs_page, compare_dirs, compare_buckets, compare_buckets_by_key, compare_summary,
         list_flat, list_prefix, list_page, list_keys, list_delimiter, list_delimiter_below, list_entries_page, list_bucket_delimiter, list_bucket_delimiter_below, list_bucket_entries_page, list_by_parent, list_root, list_buckets, get_objects, get_by_inode,
         count_objects, scan_status, remaining, at_level_3, below_level_page, byte_budget, upload_throughput,
         l1_classify, l1_moves, l1_stale, l1_report, l1_next, upsert_latest, delete_anti, bulk_delete, rename_apply, rename_outcomes, enrich_monotone, reset_level, copy_apply, merge_plan, stale_dirs,

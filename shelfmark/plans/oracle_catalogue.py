@@ -72,6 +72,11 @@ select coalesce(l.name, r.name) as name, case when r.name is null then 'only_in_
 from (select name, min(checksum_sha256) as h from cat where bucket = 'field-notes' group by 1) l
 full join (select name, min(checksum_sha256) as h from cat where bucket = 'scan-archive' group by 1) r on l.name = r.name
 """
+SQL["compare_buckets_by_key"] = CAT + """, side as (select bucket, key, min(checksum_sha256) as h from cat where bucket in ('field-notes', 'scan-archive') and key is not null group by 1, 2),
+l as (select * from side where bucket = 'field-notes'), r as (select * from side where bucket = 'scan-archive')
+select key, case when r.key is null then 'only_in_left' when l.key is null then 'only_in_right' when l.h is not distinct from r.h then 'identical' else 'modified' end as status, l.h as left_hash, r.h as right_hash
+from l full join r using (key)
+"""
 
 SQL["list_flat"] = CAT + "select bucket, id, key from cat order by prefix, name limit 1000"
 SQL["list_prefix"] = CAT + "select bucket, id, key from cat where starts_with(key, 'archive/de') order by prefix, name limit 1000"

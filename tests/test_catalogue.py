@@ -1,3 +1,4 @@
+import base64
 import hashlib
 from datetime import datetime
 
@@ -259,3 +260,14 @@ def test_patterns_and_conditions(spark):
     assert ask(none, F.lit("e"), none, none, copying=True) == "failed" and ask(none, none, at(5), none) == "not_modified" and ask(none, none, at(4), at(4)) == "failed"
     bad = M.digest_mismatch({"md5": F.lit("a"), "sha": F.lit("b")}, {"md5": none.cast("string"), "sha": F.lit("c")})
     assert spark.range(1).select(bad).collect()[0][0] == "sha"
+
+
+def test_buckets_compare_by_key_where_names_repeat(spark, tmp_path):
+    from shelfmark.plans.registry import QUERIES
+
+    h = {c: base64.b64encode(c.encode() * 32).decode() for c in "xyz"}
+    rows = [("field-notes", "a/index.html", h["x"]), ("field-notes", "b/index.html", h["y"]), ("scan-archive", "a/index.html", h["x"]), ("scan-archive", "b/index.html", h["z"]), ("scan-archive", "c/index.html", h["x"])]
+    made = [(f"{b}/{k}", b, k, k.split("/")[1], d) for b, k, d in rows]
+    spark.createDataFrame(made, "id string, bucket string, key string, name string, checksum_sha256 string").write.parquet(str(tmp_path / "objects.parquet"))
+    found = QUERIES["compare_buckets_by_key"](spark, str(tmp_path)).collect()
+    assert sorted((r.key, r.status) for r in found) == [("a/index.html", "identical"), ("b/index.html", "modified"), ("c/index.html", "only_in_right")]
