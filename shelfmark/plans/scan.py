@@ -49,12 +49,24 @@ def find(table: Versions, root: str, bucket: str, subtree: Optional[str] = None,
     return report[0].asDict() if report else dict.fromkeys(("new", "unchanged", "modified", "moved", "deleted"), 0)
 
 
-def stat(table: Versions, root: str, bucket: str, depth: int = 1) -> int:
-    """Level 2: times and sizes of files below it; links go on to level 3, since they have no content. Files without a listing wait."""
+def count_in(report: Optional[dict[str, int]], **counts: int) -> None:
+    """Add counts to a report, if there is one."""
+    if report is not None:
+        report.update({k: report.get(k, 0) + n for k, n in counts.items()})
+
+
+def stat(table: Versions, root: str, bucket: str, depth: int = 1, report: Optional[dict[str, int]] = None) -> int:
+    """Level 2: times and sizes of files below it; links go on to level 3, since they have no content. Files without a listing wait.
+
+    How many got theirs. Counted in report: updated, errors (files without a listing), and links among skipped.
+    """
     disk = tree(table.spark, root, bucket, depth)
     facts = disk.select("bucket", "key", "is_symlink", "symlink_target", "size", F.col("mtime_ns").alias("file_mtime_ns"), F.col("ctime_ns").alias("file_ctime_ns"), "inode", "device_id")
     held = table.read()
-    waiting = held.filter((F.col("bucket") == bucket) & (F.col("scan_level") < 2)).join(facts, ["bucket", "key"], "left_semi").count()
+    below = held.filter((F.col("bucket") == bucket) & (F.col("scan_level") < 2)).select("bucket", "key")
+    seen = below.join(facts.select("bucket", "key", F.col("is_symlink").alias("_link")), ["bucket", "key"], "left")
+    waiting, missing, links = seen.agg(F.count("_link"), F.count_if(F.col("_link").isNull()), F.count_if("_link")).first()
+    count_in(report, updated=waiting, errors=missing, skipped=links)
     if waiting:
         after = enriched(held, facts, 2)
         links = F.col("is_symlink") & (F.col("scan_level") == 2) & (F.col("bucket") == bucket)
@@ -62,11 +74,12 @@ def stat(table: Versions, root: str, bucket: str, depth: int = 1) -> int:
     return waiting
 
 
-def digest(table: Versions, root: str, bucket: str, budget: int = 50 << 30, most: int = 10_000) -> int:
+def digest(table: Versions, root: str, bucket: str, budget: int = 50 << 30, most: int = 10_000, report: Optional[dict[str, int]] = None) -> int:
     """Level 3: digests of the next files, up to a budget of bytes; how many files were dealt with, 0 when there is nothing left to do.
 
     Files that changed while they were read, or since they were stat'ed, get nothing and go back to level 1,
     and so do those that can't be read, are gone, or became links: no file of a batch comes back in the next.
+    Counted in report: files hashed, their bytes, and those skipped, which got nothing.
     """
     held = table.read()
     batch = materialise(byte_budget(held.filter((F.col("bucket") == bucket) & (F.col("scan_level") == 2)), 3, budget, most).select("bucket", "key"))
@@ -76,21 +89,27 @@ def digest(table: Versions, root: str, bucket: str, budget: int = 50 << 30, most
     found = materialise(hashed(batch, root))
     times = held.select("bucket", "key", F.col("file_mtime_ns").alias("_t"))
     whole = found.join(times, ["bucket", "key"]).filter(F.col("checksum_sha256").isNotNull() & F.col("mtime_ns").eqNullSafe(F.col("_t")))
-    digests = whole.select("bucket", "key", "etag", "checksum_sha256", "checksum_sha1", "checksum_crc32", "checksum_crc32c", "size")
+    digests = materialise(whole.select("bucket", "key", "etag", "checksum_sha256", "checksum_sha1", "checksum_crc32", "checksum_crc32c", "size"))
+    done, size = digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     after = enriched(held, digests, 3)
     odd = batch.join(digests, ["bucket", "key"], "left_anti").select("bucket", "key", F.lit(True).alias("_odd"))
     after = after.join(odd, ["bucket", "key"], "left").withColumn("scan_level", F.when(F.col("_odd"), 1).otherwise(F.col("scan_level")).cast("int"))
     table.commit(after.select(*held.columns))
+    count_in(report, hashed=done, bytes=size, skipped=count - done)
     return count
 
 
 def refresh(table: Versions, directories: Versions, root: str, bucket: str, level: int = 3, depth: int = 1) -> dict[str, int]:
-    """Find, stat and hash, as far as the level asked for, then hash the directories; the report of the first step."""
+    """Find, stat and hash, as far as the level asked for, then hash the directories; the counts of all steps made.
+
+    From find new, unchanged, modified, moved and deleted; from stat updated and errors; from digest hashed and bytes; from both skipped.
+    """
     report = find(table, root, bucket, depth=depth)
     if level >= 2:
-        stat(table, root, bucket, depth)
+        stat(table, root, bucket, depth, report)
     if level >= 3:
-        while digest(table, root, bucket):
+        count_in(report, hashed=0, bytes=0)
+        while digest(table, root, bucket, report=report):
             pass
         directories.commit(directory_hashes(table.read()).withColumn("stale", F.col("dir_hash").isNull()))
     return report

@@ -112,3 +112,27 @@ def test_files_gone_since_their_stat_hold_nothing_up(spark, tmp_path, monkeypatc
     monkeypatch.undo()
     scan.refresh(table, dirs, str(root), "b")
     assert {k: (r.scan_level, r.is_symlink) for k, r in rows(table).items()} == {"b": (3, True), "c": (3, False), "d/e": (3, False)}
+
+
+def test_all_levels_report(spark, tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    write(root, a="12", b="345", c="6", d="7")
+    os.symlink("a", root / "link")
+    table, dirs = Versions(spark, str(tmp_path / "t")), Versions(spark, str(tmp_path / "d"))
+    find, stat = scan.find, scan.stat
+
+    def then(step, change):
+        def run(*args, **more):
+            out = step(*args, **more)
+            change()
+            return out
+
+        return run
+
+    monkeypatch.setattr(scan, "find", then(find, lambda: os.remove(root / "d")))
+    monkeypatch.setattr(scan, "stat", then(stat, lambda: (os.remove(root / "c"), os.utime(root / "b", ns=(1, 1)))))
+    report = scan.refresh(table, dirs, str(root), "b")
+    assert {k: report[k] for k in ("new", "updated", "errors", "hashed", "bytes", "skipped")} == {"new": 5, "updated": 4, "errors": 1, "hashed": 1, "bytes": 2, "skipped": 3}
+    monkeypatch.undo()
+    report = scan.refresh(table, dirs, str(root), "b")
+    assert report == {"new": 0, "unchanged": 3, "modified": 0, "moved": 0, "deleted": 2, "updated": 1, "errors": 0, "skipped": 0, "hashed": 1, "bytes": 3}
