@@ -143,15 +143,20 @@ def fragment_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
 FEW_KEYS = 50_000
 
 
-def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], few: int = FEW_KEYS) -> DataFrame:
-    """Rows of left whose keys are in right, a table that was written already.
+def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", few: int = FEW_KEYS, shard_by: Sequence[str] | None = None) -> DataFrame:
+    """left joined with right, a table that was written already, on keys; how as in fragment_join.
 
     right is counted: up to `few` rows go to the tasks, so that left stays where it is; beyond that
-    left's large keys are split over tasks.
+    left's large keys are split over tasks. The rows are the same either way.
     """
     if right.count() <= few:
-        return left.join(F.broadcast(right.select(*keys)), list(keys), "left_semi")
-    return fragment_join(left, right.select(*keys), keys, "left_semi")
+        return left.join(F.broadcast(right), list(keys), how)
+    return fragment_join(left, right, keys, how, shard_by=shard_by)
+
+
+def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], few: int = FEW_KEYS) -> DataFrame:
+    """Rows of left whose keys are in right, a table that was written already."""
+    return key_join(left, right.select(*keys), keys, "left_semi", few)
 
 
 def _combine(keys: list[str], weight: str, rows: int = 1 << 19):
