@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.values import canonical_uuid, digest32, epoch_ns, known_map, known_text
 from shelfmark.llm.leaks import leaks
-from shelfmark.llm.lookalikes import look_classes, look_pairs, looks
+from shelfmark.llm.lookalikes import canonical_texts, look_classes, look_pairs, looks, searched
 from shelfmark.llm.packing import containers, measured
 from shelfmark.llm.survivors import survivors
 from shelfmark.session import small
@@ -55,7 +55,7 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents with different texts that look the same."""
-    return look_pairs(looks(table(spark, folder, "documents"), "doc_id", "text"), "doc_id_a", "doc_id_b")
+    return look_pairs(searched(table(spark, folder, "documents"), "doc_id", "text"), "doc_id_a", "doc_id_b")
 
 
 def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,4 +64,9 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("item").alias("doc_id"), F.col("class_item").alias("class_id"), "spellings")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_classes)}
+def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of each document in the form all texts share that look like it."""
+    return canonical_texts(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("text", "form")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_classes, p8_texts)}
