@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from shelfmark.llm.leaks import leaks, winnow
-from shelfmark.llm.lookalikes import LOOKALIKES
+from shelfmark.llm.leaks import BITMAP, WordForms, leaks, winnow
+from shelfmark.llm.lookalikes import Looks
+from test_lookalikes import disguise
 
 WORDS = [f"w{n}" for n in range(60)]
 
@@ -24,8 +25,13 @@ def found(spark, docs, items, **kw):
     return {tuple(r) for r in leaks(d, "doc", "text", e, "item", "text", **kw).collect()}
 
 
-@pytest.mark.parametrize("few", [200_000, 0])
-def test_against_brute_force(spark, few):
+@pytest.fixture(scope="module")
+def table(spark):
+    return Looks.of(spark)
+
+
+@pytest.mark.parametrize("few, most_bits", [(50_000, 1 << 28), (0, BITMAP), (0, 1 << 20)])
+def test_against_brute_force(spark, few, most_bits):
     rng = random.Random(8)
     items = [(n, " ".join(rng.choices(WORDS, k=50))) for n in range(12)]
     docs = []
@@ -37,7 +43,7 @@ def test_against_brute_force(spark, few):
             place = rng.randint(0, len(words))
             words[place:place] = own[at : at + k]
         docs.append((n, " ".join(words)))
-    assert found(spark, docs, items, few=few) == brute(docs, items, 12)
+    assert found(spark, docs, items, few=few, most_bits=most_bits) == brute(docs, items, 12)
 
 
 def test_span_at_the_ends_and_one_word_short(spark):
@@ -46,12 +52,51 @@ def test_span_at_the_ends_and_one_word_short(spark):
     assert found(spark, docs, [(7, item)]) == {(1, 7), (3, 7), (5, 7)}
 
 
-def test_disguises_case_and_punctuation_do_not_matter(spark):
-    text = "the museum porter opened a velvet crate and found two loose covers on leaf seven"
-    odd = "".join(LOOKALIKES.get(c, c)[0] if n % 3 == 0 else c for n, c in enumerate(text)).upper().replace(" ", ",\n ", 4)
-    lower = "".join(LOOKALIKES.get(c, c)[0] if n % 3 == 0 else c for n, c in enumerate(text)).replace("f", "​f")
-    assert found(spark, [(1, lower), (2, text.title().replace(" ", " — ")), (3, text.replace("two", "2")), (4, odd)], [(9, text)]) >= {(1, 9), (2, 9)}
-    assert (3, 9) not in found(spark, [(3, text.replace("velvet", "red").replace("loose", "tight"))], [(9, text)])
+PASSAGES = [
+    "the museum porter opened a velvet crate and found two loose covers on leaf seven of the book",
+    "он не знал что в папке на сервере нет той копии которую он всё ещё видел в старом каталоге",
+    "Die Straße war so groß, daß man über Jahre hinweg keinen Weißen Fluß mehr daneben sah, hieß es",
+    "le café était fermé à midi et personne ne voyait où la clé du dépôt avait été laissée hier",
+]
+
+
+def test_disguises_case_and_punctuation_do_not_matter(spark, table):
+    rng = random.Random(4)
+    docs, wanted = [], set()
+    for n, text in enumerate(PASSAGES):
+        forms = [text.upper(), text.lower(), text.title(), text.replace(" ", " — ", 3).replace(" ", ",\n", 2)]
+        forms += [disguise(f, rng, table) for f in forms for _ in range(3)]
+        for f in forms:
+            docs.append((len(docs), f))
+            wanted.add((docs[-1][0], n))
+    for n, text in enumerate(PASSAGES):
+        words = text.split()
+        docs.append((len(docs), " ".join("other" if at % 9 == 4 else w for at, w in enumerate(words))))
+    assert found(spark, docs, list(enumerate(PASSAGES))) == wanted
+    assert found(spark, docs, [(n, disguise(t.upper(), rng, table)) for n, t in enumerate(PASSAGES)]) == wanted
+
+
+def test_words(table):
+    forms = WordForms(table)
+    for a, b in [("НЕТ", "нет"), ("HET", "нет"), ("в", "B"), ("Straße", "STRASSE"), ("ΛΟΓΟΣ", "λογος"), ("naı", "NAI"), ("Ⲟ", "o"), ("ꓪay", "way")]:
+        assert forms.key(a) == forms.key(b) and forms.same(a, b), (a, b)
+    for a, b in [("vote", "note"), ("bay", "bar"), ("cafe", "cafe\u0301"), ("l", "1"), ("o", "0"), ("an", "ann")]:
+        assert not forms.same(a, b), (a, b)
+    assert forms.words("a_b, c3 e\u0301té\u200b! x") == [b"a", b"b", b"c3", "e\u0301te\u0301", b"x"]
+    assert forms.words("It's 2 words") == [b"It", b"s", b"2", b"words"]
+
+
+def test_words_that_only_share_a_key_are_no_leak(spark):
+    text = " ".join(["vote", *WORDS[:12], "van"])
+    docs = [(1, text), (2, text.replace(" van", "").replace(WORDS[5], "nine")), (3, " ".join(["vine"] * 13))]
+    assert found(spark, docs, [(1, text), (2, " ".join(["nine"] * 13))]) == {(1, 1)}
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_a_passage_in_most_documents(spark, few):
+    docs = [(n, f"{n} " + " ".join(WORDS[:20]) + f" {n}" if n % 3 else f"{n}") for n in range(3000)]
+    got = found(spark, docs, [(1, " ".join(WORDS[:20])), (2, " ".join(WORDS[5:40]))], few=few)
+    assert got == {(n, i) for n in range(3000) if n % 3 for i in (1, 2)}
 
 
 def test_nulls_empty_copies_and_long_texts(spark):
