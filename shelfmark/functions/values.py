@@ -26,6 +26,11 @@ def canonical_uuid(c: Column) -> Column:
     return F.when(c.isNull() | usual, c).when(digits.rlike("^[0-9a-f]{32}$"), hyphenated).otherwise(text)
 
 
+def event_kind(c: Column) -> Column:
+    """The name of an event in lower case, without white space around it and without the service's name before it."""
+    return F.regexp_replace(F.lower(F.trim(c)), "^s3:", "")
+
+
 def plain_key(c: Column) -> Column:
     """An object key as stored: percent escapes and plus signs of the form encoding undone, no leading slash.
 

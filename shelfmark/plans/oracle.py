@@ -25,6 +25,20 @@ select coalesce(min(event_id) filter (where not exists (select 1 from object_eve
 from object_events e
 """
 
+_THEN = f"""
+with seen as (select *, event_id as n from ({_CHANGES}) where received_at <= timestamp '2025-03-15'),
+steps as (select n, n - lag(n, 1, 0) over (order by n) as step from (select distinct n from seen)),
+reached as (select coalesce((select min(n) from steps where step > 1), (select coalesce(max(n), 0) + 1 from steps)) as first_beyond)
+"""
+
+# numbers from the first one on that has a gap before it are held
+SQL["p1_held"] = _THEN + "select distinct event_id from seen, reached where n >= first_beyond"
+SQL["p1_then"] = _THEN + """
+select bucket, plain as object_key, oid as object_id from (
+  select *, row_number() over (partition by bucket, plain order by event_time desc, event_id desc) as r
+  from seen, reached where n < first_beyond and (kind like 'objectcreated%' or kind like 'objectremoved%')) where r = 1 and kind like 'objectcreated%'
+"""
+
 _UUID = "lower(regexp_replace({c}, '[^0-9A-Fa-f]', '', 'g'))"
 
 _ORPHANS = f"""

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.values import canonical_uuid, digest_text, epoch_ns, joined_path, ns_to_timestamp, plain_key
+from shelfmark.functions.values import canonical_uuid, digest_text, epoch_ns, event_kind, joined_path, ns_to_timestamp, plain_key
 from shelfmark.operators.references import Reference, orphan_report, orphans
-from shelfmark.operators.replay import Feed, replay, watermark
+from shelfmark.operators.replay import Feed, committed, replay, watermark
 from shelfmark.operators.skew import fragment_counts, fragment_join
 from shelfmark.operators.snapshots import snapshot_changes
 from shelfmark.session import materialise
 from shelfmark.sources.tables import table
 
 
-def object_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """object_events, with names, keys and ids in one spelling."""
-    kind = F.regexp_replace(F.lower(F.trim("event_name")), "^s3:", "")
+def object_changes(spark: SparkSession, folder: str, until: Optional[str] = None) -> DataFrame:
+    """object_events, with names, keys and ids in one spelling; of a feed until some moment what had arrived by then."""
+    kind = event_kind(F.col("event_name"))
     return (
         table(spark, folder, "object_events")
+        .filter(F.lit(True) if until is None else F.col("received_at") <= F.lit(until).cast("timestamp"))
         .select(
             kind.alias("kind"), "event_time", "event_id", "bucket",
             plain_key(F.col("object_key")).alias("object_key"), canonical_uuid(F.col("object_id")).alias("object_id"),
@@ -26,14 +29,34 @@ def object_changes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def object_feed() -> Feed:
+    """How object_changes are to be read: tagging events have numbers, and so count for gaps, but change no state."""
+    removes = F.col("kind").startswith("objectremoved")
+    return Feed(["bucket", "object_key"], ["event_time", "event_id"], removes, "event_id", effect=F.col("kind").startswith("objectcreated") | removes)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Objects that exist after the last event up to which no number is missing.
+    """Objects that exist after the last event up to which no number is missing."""
+    return replay(object_changes(spark, folder), object_feed(), ["object_id"])
 
-    Tagging events have numbers, and so count for gaps, but change no state.
-    """
-    removes = F.col("kind").startswith("objectremoved")
-    feed = Feed(["bucket", "object_key"], ["event_time", "event_id"], removes, "event_id", effect=F.col("kind").startswith("objectcreated") | removes)
-    return replay(object_changes(spark, folder), feed, ["object_id"])
+
+#: A moment at which the feed is looked at as far as it had arrived then.
+SOME_MOMENT = "2025-03-15 00:00:00"
+
+
+def arrived(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed as far as it had arrived at some moment, with the gaps it had then."""
+    return object_changes(spark, folder, SOME_MOMENT)
+
+
+def p1_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that had arrived at some moment but waited for others."""
+    return committed(arrived(spark, folder), object_feed())[1].select("event_id").distinct()
+
+
+def p1_then(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects that were known to exist at some moment."""
+    return replay(arrived(spark, folder), object_feed(), ["object_id"])
 
 
 def p1_watermark(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,4 +132,4 @@ def p5_members(spark: SparkSession, folder: str) -> DataFrame:
     return fragment_join(rows, groups, ["content_hash"]).fillna(-1, ["group_size"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_report, p4_found, p4_report, p5_found, p5_members)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_held, p1_then, p2_found, p2_report, p4_found, p4_report, p5_found, p5_members)}
