@@ -1,14 +1,15 @@
 """Per-key results when a handful of keys holds most rows: fragment-replicate by load.
 
-The plan is made from exact loads. Keys hash into bins, of which there are a fixed number per task;
-one pass counts rows by bin. Only bins with at least the load of a quarter of a task can hold a key
-worth splitting, so a second pass counts keys in those bins alone. The driver gets the bins and the
-keys that hold at least a quarter of a task's fair share: at most four of them per task, however
-large the data. It packs bins and shards of large keys onto tasks, largest first, each onto the
+The plan is made from estimated loads. One pass counts all rows and keeps a sketch of the most frequent
+keys in each task; sketches merge, so the driver gets one row with the keys that may hold a quarter of
+a task's fair share, at most four of them per task, however large the data. The load of a key is known
+to a hundredth of that share or so. All other keys hash into bins, a fixed number per task, which share
+the rest alike. The driver packs bins and shards of large keys onto tasks, largest first, each onto the
 least loaded task.
 
 Rows then go straight to their task's partition. A join's other side goes to the same partitions,
-rows of split keys to every task that has a shard of theirs, all others to one.
+rows of split keys to every task that has a shard of theirs, all others to one. An estimate that is
+off makes a task longer, and changes no row.
 """
 
 from __future__ import annotations
@@ -29,19 +30,19 @@ BINS_PER_TASK = 32
 
 @dataclass
 class LoadPlan:
-    """Where rows go. bins: the task of each bin. heavy: key values, and the tasks of the key's shards."""
+    """Where rows go. bins: the task of each bin. heavy: hashes of large keys, and the tasks of their shards."""
 
     tasks: int
     bins: list[int]
-    heavy: list[tuple[tuple, list[int]]]
+    heavy: list[tuple[int, list[int]]]
     loads: list[int]
 
 
-def _bin(keys: Sequence[str], bins: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(bins)).cast("int")
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{k}`") for k in keys])
 
 
-def pack(loads: list[int], heavy: list[tuple[tuple, int, int]], tasks: int) -> LoadPlan:
+def pack(loads: list[int], heavy: list[tuple[int, int, int]], tasks: int) -> LoadPlan:
     """Bins with these loads, and heavy keys as (key, bin, load), packed onto tasks; largest piece first.
 
     A heavy key is cut into shards of at most half a task's fair share.
@@ -68,46 +69,59 @@ def pack(loads: list[int], heavy: list[tuple[tuple, int, int]], tasks: int) -> L
     return LoadPlan(tasks, place, [(key, sorted(set(t))) for (key, _, _), t in zip(heavy, shards)], [round(x) for x, _ in sorted(heap, key=lambda h: h[1])])
 
 
+#: The most keys a sketch follows.
+MOST_TRACKED = 1 << 19
+
+
 def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> LoadPlan:
-    """The plan for df's rows by keys; keys that are null in any column are left out."""
+    """The plan for df's rows by keys, in one pass over them; keys that are null in any column are left out."""
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = tasks * BINS_PER_TASK
     some = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
-    keyed = df.select(*[F.col(f"`{k}`") for k in keys]).filter(some)
-    at, load = columns_named(keyed, "bin"), columns_named(keyed, "load")
-    binned = keyed.withColumn(at, _bin(keys, count))
-    loads = [0] * count
-    for r in binned.groupBy(at).agg(F.count(F.lit(1)).alias(load)).collect():
-        loads[r[at]] = r[load]
-    least = max(2, sum(loads) / (4 * tasks))
-    full = [n for n, x in enumerate(loads) if x >= least]
-    heavy = []
-    if full:
-        by_key = binned.filter(F.col(at).isin(full)).groupBy(*[F.col(f"`{k}`") for k in keys], F.col(at)).agg(F.count(F.lit(1)).alias(load))
-        heavy = [(tuple(r[k] for k in keys), r[at], r[load]) for r in by_key.filter(F.col(load) >= least).collect()]
-    heavy.sort(key=lambda h: (-h[2], repr(h[0])))
-    return pack(loads, heavy, tasks)
+    tracked = 4096
+    while tracked < min(256 * tasks, MOST_TRACKED):
+        tracked *= 2
+    top = F.call_function("approx_top_k", F.col("h"), F.lit(min(4 * tasks, tracked)), F.lit(tracked))
+    rows, found = df.filter(some).select(_hash(keys).alias("h")).agg(F.count(F.lit(1)), top).first()
+    least = max(2, rows / (4 * tasks))
+    heavy = [(r["item"], r["count"]) for r in found or () if r["count"] >= least]
+    count = tasks * BINS_PER_TASK
+    each = max(0, rows - sum(n for _, n in heavy)) // count
+    loads, placed = [each] * count, []
+    for key, load in sorted(heavy, key=lambda h: (-h[1], h[0])):
+        loads[key % count] += load
+        placed.append((key, key % count, load))
+    return pack(loads, placed, tasks)
+
+
+def _with_shards(df: DataFrame, keys: Sequence[str], plan: LoadPlan) -> tuple[DataFrame, str, str]:
+    """df with the hash of the row's key and, if the key is split, the tasks of its shards, a table bounded by the tasks."""
+    key, shards = (columns_named(df, c) for c in ("hash", "shards"))
+    heavy = df.sparkSession.createDataFrame(plan.heavy, f"{key} long, {shards} array<int>")
+    return df.withColumn(key, _hash(keys)).join(F.broadcast(heavy), key, "left"), key, shards
 
 
 def _routes(df: DataFrame, keys: Sequence[str], plan: LoadPlan) -> tuple[DataFrame, str, str]:
     """df with the tasks of the row's bin and, if its key is split, of its shards; both tables are bounded by the tasks."""
-    spark = df.sparkSession
-    home, shards, at = (columns_named(df, c) for c in ("home", "shards", "bin"))
-    bins = spark.createDataFrame([(n, t) for n, t in enumerate(plan.bins)], f"{at} int, {home} int")
-    out = df.withColumn(at, _bin(keys, len(plan.bins))).join(F.broadcast(bins), at).drop(at)
-    kinds = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField(shards, T.ArrayType(T.IntegerType()))])
-    heavy = spark.createDataFrame([(*key, t) for key, t in plan.heavy], kinds)
-    return out.join(F.broadcast(heavy), list(keys), "left").select(*[F.col(f"`{c}`") for c in df.columns], home, shards), home, shards
+    out, key, shards = _with_shards(df, keys, plan)
+    home, at = columns_named(df, "home"), columns_named(df, "bin")
+    bins = df.sparkSession.createDataFrame([(n, t) for n, t in enumerate(plan.bins)], f"{at} int, {home} int")
+    out = out.withColumn(at, F.pmod(F.col(key), F.lit(len(plan.bins))).cast("int")).join(F.broadcast(bins), at)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], home, shards), home, shards
+
+
+def _spread(df: DataFrame, shard_by: Sequence[str] | None) -> Column:
+    """A number that depends on the row alone, so that a task that is run again makes the same choice."""
+    kinds = df.schema
+    return F.xxhash64(F.lit(7), *[F.to_json(F.col(f"`{c}`")) if isinstance(kinds[c].dataType, T.MapType) else F.col(f"`{c}`") for c in (shard_by or df.columns)])
 
 
 def fragmented(df: DataFrame, keys: Sequence[str], plan: LoadPlan, shard_by: Sequence[str] | None = None, task: str = "task") -> DataFrame:
     """df with the task each row belongs to, by default choosing among a key's shards by all of its columns.
 
-    The choice depends on the row alone, so that a task that is run again makes the same choice.
     Rows that are null in a key match nothing and spread over all tasks.
     """
     routed, home, shards = _routes(df, keys, plan)
-    spread = F.xxhash64(F.lit(7), *[F.to_json(F.col(f"`{c}`")) if isinstance(df.schema[c].dataType, T.MapType) else F.col(f"`{c}`") for c in (shard_by or df.columns)])
+    spread = _spread(df, shard_by)
     null = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys])
     chosen = (
         F.when(null, F.pmod(spread, F.lit(plan.tasks)).cast("int"))
@@ -159,42 +173,19 @@ def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], few: int =
     return key_join(left, right.select(*keys), keys, "left_semi", few)
 
 
-def _combine(keys: list[str], weight: str, rows: int = 1 << 19):
-    """Batches of rows, summed by keys before they are shuffled."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        held, size = [], 0
-
-        def flush():
-            table = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([(weight, "sum")])
-            table = table.rename_columns([*keys, weight]) if table.column_names[-1] == f"{weight}_sum" else table.select([*keys, f"{weight}_sum"]).rename_columns([*keys, weight])
-            return table.combine_chunks().to_batches()
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= rows:
-                out = flush()
-                yield from out
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    return run
-
-
 def fragment_counts(df: DataFrame, keys: Sequence[str], within: Sequence[str] = (), count: str = "n", tasks: int | None = None, shard_by: Sequence[str] | None = None) -> DataFrame:
     """Rows of df by keys and within: counted in each shard of a key, and the shards' counts then added.
 
-    Each task adds up equal rows before anything is shuffled, so a shard ships each distinct value once
-    per half million rows. Rows that are null in a key are left out; nulls of within are values.
+    Rows are summed map-side, so a task sends each distinct value of a shard once; the sums of a large
+    key, one from every task of a large input, meet in as many places as the key has shards. Rows that
+    are null in a key are left out; nulls of within are values.
     """
     plan = plan_loads(df, keys, tasks)
-    task = columns_named(df, "task")
     columns = [*keys, *within]
-    placed = fragmented(df, keys, plan, shard_by, task).dropna(subset=list(keys)).select(task, *columns, F.lit(1).cast("long").alias(count))
-    combined = placed.mapInArrow(_combine([task, *columns], count), placed.schema)
-    by_shard = combined.repartitionById(plan.tasks, F.col(task)).groupBy(task, *columns).agg(F.sum(count).alias(count))
+    marked, _, shards = _with_shards(df.dropna(subset=list(keys)), keys, plan)
+    shard = columns_named(df, "shard")
+    while shard == count:
+        shard = f"_{shard}"
+    placed = marked.withColumn(shard, F.coalesce(F.get(F.col(shards), F.pmod(_spread(df, shard_by), F.size(shards)).cast("int")), F.lit(-1)))
+    by_shard = placed.groupBy(shard, *columns).agg(F.count(F.lit(1)).alias(count))
     return by_shard.groupBy(*columns).agg(F.sum(count).alias(count))
