@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     known |= {"size": F.col("size"), "file_mtime_ns": F.col("file_mtime_ns"), "metadata": known_map(F.col("metadata"))}
     found = survivors(
         rows, "content", "id", ["size", "file_mtime_ns", "etag", "checksum_sha1", "content_type", "metadata"], "file_mtime_ns", "key",
-        ["content_type", "etag", "metadata", "checksum_sha1"], F.coalesce("named", F.lit(False)), known,
+        ["content_type", "etag", "metadata", "checksum_sha1"], F.coalesce("named", F.lit(False)), known, most=20,
     )
     return found.select(F.col("winner").alias("winner_object_id"), "field_name", F.col("donor").alias("donor_object_id"))
 

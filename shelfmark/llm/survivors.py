@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Optional
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,41 +32,44 @@ def candidate_rows(df: DataFrame, group: str, member: str, most: int) -> DataFra
     return df.join(F.broadcast(crowded), group, "left_anti")
 
 
-def survivors(df: DataFrame, group: str, member: str, completeness: Sequence[str], recency: str, key: str, fields: Sequence[str], trusted: Column, known: Mapping[str, Column], least: int = 2, most: int = 20) -> DataFrame:
+def _number(c: Column, kind: str) -> Column:
+    """A moment as a number that keeps its order."""
+    return F.unix_micros(c) if kind.startswith("timestamp") else F.unix_date(c) if kind == "date" else c
+
+
+def survivors(df: DataFrame, group: str, member: str, completeness: Sequence[str], recency: str, key: str, fields: Sequence[str], trusted: Column, known: Mapping[str, Column], least: int = 2, most: Optional[int] = None) -> DataFrame:
     """(group, winner, field_name, donor): the surviving member of each group, and where each field's value comes from.
 
     Members rank by trust, by the number of known values among completeness, by recency with unknown
-    last, and by the bytewise smallest key; the top one wins. A field's donor is the winner if it knows
-    the value, else the first member that does by recency and key. A field no member knows has no row.
+    last, and by the bytewise smallest key; the top one of a window over the group wins. A field's donor
+    is the winner if it knows the value, else the first member that does by recency and key. A field no
+    member knows has no row.
+
+    Groups may be of any size: each task keeps its own top row and first members of a group before
+    anything is shuffled by group, so one that has most rows sends few.
 
     known gives, for each column of completeness and fields, the value or null if it says nothing. Groups
-    are those of least to most distinct members; a null group or member belongs to none. Repeated rows
-    of a member count once: the one that ranks first. Ties left after the key fall to the smallest
-    member. Empty tables give no rows. Extra columns play no part.
+    are those of at least `least` distinct members, and, if that is asked for, at most `most`; a null
+    group or member belongs to none. Repeated rows of a member count once: the row that ranks first, key
+    included. Null keys come before others. Ties left after the key fall to the smallest member. Empty
+    tables give no rows. Extra columns play no part. recency is a number, a date or a timestamp.
     """
     names = list(dict.fromkeys([*completeness, *fields]))
     full = reduce(lambda a, b: a + b, [known[c].isNotNull().cast("int") for c in completeness])
-    rows = df.select(
-        F.col(group).alias("g"), F.col(member).alias("m"), F.col(key).alias("k"), F.col(recency).alias("at"), trusted.alias("trust"), full.alias("full"),
-        *[known[c].isNotNull().alias(f"has{n}") for n, c in enumerate(names)],
-    ).dropna(subset=["g", "m"])
-    rows = candidate_rows(rows, "g", "m", most)
-    rank = [F.col("trust").desc(), F.col("full").desc(), F.col("at").desc_nulls_last(), F.col("k"), F.col("m")]
+    at = _number(F.col(recency), df.schema[recency].dataType.simpleString())
+    flags = [known[c].isNotNull().alias(f"has{n}") for n, c in enumerate(names)]
+    order = F.struct((~trusted).alias("plain"), (-full).alias("gaps"), at.isNull().alias("undated"), (-at).alias("age"), F.col(key).alias("k"), *flags)
+    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m"), order.alias("o")).dropna(subset=["g", "m"])
+    rows = rows if most is None else candidate_rows(rows, "g", "m", most)
     # a member's repeats meet by group and member first, which spreads a member that is repeated without end
-    flags = [f"has{n}" for n in range(len(names))]
-    best = F.struct("trust", "full", "at", *flags)
-    once = rows.groupBy("g", "m").agg(F.max(best).alias("best"), F.min("k").alias("k")).select("g", "m", "k", "best.*")
-    inside = Window.partitionBy("g")
-    ranked = once.withColumn("members", F.count(F.lit(1)).over(inside)).filter(F.col("members").between(least, most))
-    top = ranked.withColumn("winner", F.first("m").over(inside.orderBy(*rank)))
-    recent = [F.col("at").desc_nulls_last(), F.col("k"), F.col("m")]
-    order = Window.partitionBy("g").orderBy(*recent)
-    top = top.withColumn("turn", F.row_number().over(order))
-    donors = []
-    for n, c in enumerate(names):
-        if c in fields:
-            place = F.when(F.col("m") == F.col("winner"), 0).otherwise(F.col("turn"))
-            donors.append(F.min(F.when(F.col(f"has{n}"), F.struct(place.alias("place"), F.col("m").alias("m")))).alias(f"donor{n}"))
-    chosen = top.groupBy("g", "winner").agg(*donors)
-    each = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"donor{n}.m").alias("donor")) for n, c in enumerate(names) if c in fields])
-    return chosen.select(F.col("g").alias(group), "winner", F.explode(each).alias("f")).select(group, "winner", "f.field_name", "f.donor").filter("donor is not null")
+    once = materialise(rows.groupBy("g", "m").agg(F.min("o").alias("o")))
+    recent = F.struct("o.undated", "o.age", "o.k", "m")
+    kept = [n for n, c in enumerate(names) if c in fields]
+    firsts = [F.min(F.when(F.col(f"o.has{n}"), recent)).alias(f"first{n}") for n in kept]
+    groups = once.groupBy("g").agg(F.count(F.lit(1)).alias("members"), *firsts)
+    groups = groups.filter((F.col("members") >= least) & (F.lit(True) if most is None else F.col("members") <= most))
+    top = Window.partitionBy("g").orderBy(*[f"o.{c}" for c in ("plain", "gaps", "undated", "age", "k")], "m")
+    winners = once.withColumn("turn", F.row_number().over(top)).filter("turn = 1").select("g", F.col("m").alias("winner"), "o")
+    each = F.array(*[F.struct(F.lit(names[n]).alias("field_name"), F.when(F.col(f"o.has{n}"), F.col("winner")).otherwise(F.col(f"first{n}.m")).alias("donor")) for n in kept])
+    chosen = winners.join(groups, "g").select(F.col("g").alias(group), "winner", F.explode(each).alias("f"))
+    return chosen.select(group, "winner", "f.field_name", "f.donor").filter("donor is not null")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions.values import known_map, known_text
@@ -11,7 +12,7 @@ SCHEMA = "h string, id string, key string, at long, size long, etag string, kind
 def run(spark, rows, **kw):
     df = spark.createDataFrame([(*r, *[None] * (12 - len(r))) for r in rows], SCHEMA)
     known = {"size": F.col("size"), "at": F.col("at"), "etag": known_text(F.col("etag")), "kind": known_text(F.col("kind")), "meta": known_map(F.col("meta"))}
-    out = survivors(df, "h", "id", ["size", "at", "etag", "kind", "meta"], "at", "key", ["kind", "etag", "meta"], F.coalesce("named", F.lit(False)), known, **kw)
+    out = survivors(df, "h", "id", ["size", "at", "etag", "kind", "meta"], "at", "key", ["kind", "etag", "meta"], F.coalesce("named", F.lit(False)), known, **{"most": 20, **kw})
     return {(r.winner, r.field_name): r.donor for r in out.collect()}
 
 
@@ -39,13 +40,26 @@ def test_crowded_and_repeated_groups(spark):
     assert run(spark, df) == {("9001", "etag"): "9001", ("a", "etag"): "a"}
 
 
-def test_against_a_model(spark):
+def test_groups_of_any_size(spark):
+    df = [("hot", str(n), str(n), n % 900, 1, "e" if n == 7 else None, "k", None) for n in range(3000)]
+    assert run(spark, df, most=None) == {("7", "kind"): "7", ("7", "etag"): "7"}
+    assert run(spark, df) == {}
+
+
+def test_a_repeated_member_counts_by_its_first_row(spark):
+    rows = [("h", "1", "z", 5, 1, "e"), ("h", "1", "a", 5, None, None), ("h", "2", "m", 5, 1, "e")]
+    assert run(spark, rows) == {("2", "etag"): "2"}
+    assert run(spark, [rows[0], ("h", "1", "b", 5, 1, "e"), rows[2]]) == {("1", "etag"): "1"}
+
+
+@pytest.mark.parametrize("most, many", [(20, 60), (None, 60), (None, 2)])
+def test_against_a_model(spark, most, many):
     rng = random.Random(6)
-    rows = [(f"h{rng.randrange(60)}", f"id{n}", f"k{rng.randrange(400)}", rng.choice([None, rng.randrange(9)]), rng.choice([None, 1]), rng.choice([None, "", "e"]), rng.choice([None, "unknown", "k"]), rng.choice([None, {}, {"a": "b"}]), rng.random() < 0.1) for n in range(400)]
+    rows = [(f"h{rng.randrange(many)}", f"id{n}", f"k{rng.randrange(400)}", rng.choice([None, rng.randrange(9)]), rng.choice([None, 1]), rng.choice([None, "", "e"]), rng.choice([None, "unknown", "k"]), rng.choice([None, {}, {"a": "b"}]), rng.random() < 0.1) for n in range(400)]
     want = {}
     for h in {r[0] for r in rows}:
         group = [r for r in rows if r[0] == h]
-        if not 2 <= len(group) <= 20:
+        if not 2 <= len(group) <= (most or len(group)):
             continue
         has = lambda r: {"size": r[4] is not None, "at": r[3] is not None, "etag": bool(r[5]), "kind": r[6] == "k", "meta": bool(r[7])}
         recent = lambda r: (r[3] is None, -(r[3] or 0), r[2], r[1])
@@ -54,4 +68,4 @@ def test_against_a_model(spark):
             donors = [winner] if has(winner)[field] else sorted((r for r in group if has(r)[field]), key=recent)
             if donors:
                 want[winner[1], field] = donors[0][1]
-    assert run(spark, rows) == want
+    assert run(spark, rows, most=most) == want
