@@ -18,6 +18,12 @@ def columns_named(df: DataFrame, name: str) -> str:
     return name
 
 
+def last_at_most(values: Column, x: Column, longest: int) -> Column:
+    """The place of the last of sorted values that is at most x, where the first one is; by halving steps, of which longest needs so many."""
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(max(1, (longest - 1).bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(values, at + step) <= x, F.lit(False)), at + step).otherwise(at))
+
+
 def with_group_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str = "rank", tasks: int | None = None) -> DataFrame:
     """df with rank 0, 1, 2, ... of each row within its group, in the order of the order columns.
 

@@ -48,6 +48,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """path, which release() will delete with all below it."""
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
@@ -55,10 +61,9 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     were partitioned. The files outlive any executor; they go with release(), or when Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = temporary(spark, f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators.snapshots import snapshot_changes
+from shelfmark.operators.snapshots import KeptSnapshots, bounds_of, snapshot_changes
 
 SCHEMA = "b string, n int, key string, size long, inode long, dev long, at int, s string, k string, kind string"
 
@@ -71,3 +71,26 @@ def test_one_identity_for_most_files(spark):
     df = spark.range(4000).select(F.lit("b").alias("b"), (F.col("id") % 2 + 1).cast("int").alias("n"), F.format_string("k%05d", "id").alias("key"), F.lit(1).alias("size"), F.lit(0).alias("inode"), F.lit(0).alias("dev"))
     out = snapshot_changes(df, "b", "n", "key", ["size"], ["inode", "dev", "size"])
     assert [tuple(r) for r in out.groupBy("change_kind").count().collect()] == [("moved", 2000)]
+
+
+def test_a_new_listing_is_compared_with_the_last_one_only(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [("b", n, f"k{k:03d}", rng.choice([1, 2]), rng.choice([1, 2, 3, None]), 1) for n in (1, 2, 3, 5) for k in range(200) if rng.random() < 0.7]
+    load = lambda some: spark.createDataFrame([(*r, *[None] * (10 - len(r))) for r in some], SCHEMA)
+    kept = KeptSnapshots(spark, str(tmp_path / "kept"), ["size", "inode", "dev"], ["inode", "dev", "size"], ranges=4)
+    for n in (1, 2, 3):
+        kept.add(load([r for r in rows if r[1] == n]), "b", "n", "key", "at")
+    assert sorted(tuple(r) for r in kept.changes().collect()) == model([r for r in rows if r[1] < 5])
+    kept.add(load([r for r in rows if r[1] == 5][:50]), "b", "n", "key", "at")
+    kept.add(load([r for r in rows if r[1] == 5][50:]), "b", "n", "key", "at")  # rows that come late
+    assert sorted(tuple(r) for r in kept.changes([5]).collect()) == [c for c in model(rows) if c[1] == 5]
+    assert sorted(tuple(r) for r in kept.changes().collect()) == model(rows)
+    plan = kept.merged(kept.steps().filter("after = 5"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("shufflepartitionidpassthrough") == 2 and "hashpartitioning" not in plan
+    assert "n#" in plan and "IN (3,5)" in plan  # a filter of partitions
+
+
+def test_ranges_share_the_keys(spark):
+    df = spark.range(20_000).select(F.format_string("b%d", F.col("id") % 3).alias("s"), F.format_string("k%06d", "id").alias("k"))
+    bounds = bounds_of(df, 8)
+    assert len(bounds) == 7 and bounds == sorted(bounds) and bounds_of(df.limit(0), 8) == []
