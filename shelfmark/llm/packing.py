@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from shelfmark.operators.ranking import with_group_rank
+from shelfmark.operators.ranking import last_at_most, with_group_rank
+from shelfmark.operators.skew import key_join
 from shelfmark.session import materialise
 
 
@@ -124,7 +125,9 @@ def containers(items: DataFrame, item: str, length: str, capacities: DataFrame,
     """(capacity_id, item, piece, piece_length, container): where each item goes, for each capacity on its own.
 
     The driver gets counts by length, at most as many as the capacity, and plans on them. Items then get
-    their rank within their length, and with it their slot, in a join of the length's runs.
+    their rank within their length, and with it their slot: they meet the runs of their length, which are
+    counted and go to all tasks if they are few, and find theirs by halving, so that the time of an item
+    grows with the logarithm of the runs only.
 
     An item stays whole unless it is longer than the capacity; then all its pieces but the last fill a
     container each, and the last is packed as an item. An item without length, or with length null or 0,
@@ -138,19 +141,21 @@ def containers(items: DataFrame, item: str, length: str, capacities: DataFrame,
     for r in cut.groupBy("capacity_id", "capacity", "piece_length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r.capacity_id, r.capacity][r.piece_length] = r.n
     plan = [
-        (cid, size, [dict(zip(("first", "end", "container", "each"), run)) for run in runs])
+        (cid, size, [run[0] for run in runs], [run[2] for run in runs], [run[3] for run in runs])
         for (cid, capacity_), histogram in counts.items()
         for size, runs in plan_containers(histogram, capacity_)[0].items()
     ]
     spark = items.sparkSession
     kind = cut.schema["capacity_id"].dataType.simpleString()
-    slots = spark.createDataFrame(plan, f"capacity_id {kind}, piece_length long, runs array<struct<first:long,end:long,container:long,each:long>>")
+    slots = spark.createDataFrame(plan, f"capacity_id {kind}, piece_length long, firsts array<long>, boxes array<long>, each array<long>")
     ranked = with_group_rank(cut, ["capacity_id", "piece_length"], ["item", "piece"])
-    run = F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["end"]))[0]
-    placed = ranked.join(F.broadcast(slots), ["capacity_id", "piece_length"]).withColumn("run", run)
+    placed = key_join(ranked, materialise(slots), ["capacity_id", "piece_length"], shard_by=["item", "piece"])
+    longest = max((len(firsts) for _, _, firsts, _, _ in plan), default=1)
+    placed = placed.withColumn("run", last_at_most(F.col("firsts"), F.col("rank"), longest))
+    first, box, each = (F.get(F.col(c), F.col("run")) for c in ("firsts", "boxes", "each"))
     return placed.select(
         F.col("capacity_id").alias(capacity_id), F.col("item").alias(item), "piece", "piece_length",
-        (F.col("run.container") + F.floor((F.col("rank") - F.col("run.first")) / F.col("run.each"))).cast("long").alias("container"),
+        (box + F.floor((F.col("rank") - first) / each)).cast("long").alias("container"),
     )
 
 

@@ -10,7 +10,7 @@ from shelfmark.llm.leaks import leaks
 from shelfmark.llm.lookalikes import canonical_texts, look_classes, look_pairs, looks, searched
 from shelfmark.llm.packing import containers, measured
 from shelfmark.llm.survivors import survivors
-from shelfmark.session import small
+from shelfmark.session import materialise, small
 from shelfmark.sources.tables import table
 
 
@@ -43,6 +43,20 @@ def p6_fill(spark: SparkSession, folder: str, tokenizer: str | None = None) -> D
     return each.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("held").alias("tokens"), F.max("held").alias("fullest"))
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of documents measured in bytes: whether all are placed, none too much in a container, and few containers more than must be."""
+    items = table(spark, folder, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    capacities = table(spark, folder, "pack_capacities")
+    found = materialise(containers(items, "doc_id", "bytes", capacities, "capacity_id", "capacity_tokens"))
+    boxes = found.groupBy("capacity_id", "container").agg(F.sum("piece_length").alias("held"))
+    boxes = boxes.join(F.broadcast(capacities.select("capacity_id", "capacity_tokens").distinct()), "capacity_id")
+    least = F.ceil(F.sum("held") / F.first("capacity_tokens"))
+    boxes = boxes.groupBy("capacity_id").agg(F.sum("held").alias("bytes"), F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"), (F.count(F.lit(1)) <= least * 11 / 9 + 1).alias("within_bound"))
+    placed = found.groupBy("capacity_id", "doc_id").agg(F.count(F.lit(1))).groupBy("capacity_id").agg(F.count(F.lit(1)).alias("documents"))
+    every = items.count()
+    return boxes.join(placed, "capacity_id").select("capacity_id", "documents", "bytes", "overfull", (F.lit(every) - F.col("documents")).alias("unplaced"), "within_bound")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item, with the item."""
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
@@ -69,4 +83,4 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_texts(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("text", "form")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_classes, p8_texts)}
+QUERIES = {f.__name__: f for f in (p3_found, p6_containers, p6_fill, p6_check, p7_found, p7_items, p8_found, p8_classes, p8_texts)}

@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfmark.llm.packing import containers, plan_containers, token_count
+from shelfmark.operators.ranking import last_at_most
+from shelfmark.operators.skew import key_join
 
 
 def unroll(runs):
@@ -91,3 +93,22 @@ def test_tokens(spark):
     rows = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",), ("x" * 20_000,)], "t string").select(token_count(F.col("t")).alias("n")).collect()
     counts = [r.n for r in rows]
     assert counts[:3] == [2, 0, 0] and counts[3] > 1 and 0 < counts[4] < 20_000
+
+
+def test_the_run_of_a_rank_is_found_by_halving(spark):
+    for values in ([0], [0, 5], [0, 1, 7, 8, 30], list(range(0, 300, 3))):
+        df = spark.range(0, values[-1] + 3).select(F.col("id"), F.array(*map(F.lit, values)).alias("v"))
+        got = {r.id: r.at for r in df.select("id", last_at_most(F.col("v"), F.col("id"), len(values)).alias("at")).collect()}
+        assert got == {x: max(n for n, v in enumerate(values) if v <= x) for x in got}
+
+
+def test_runs_that_are_too_many_to_send(spark, monkeypatch):
+    monkeypatch.setattr("shelfmark.llm.packing.key_join", lambda *a, **k: key_join(*a, **{**k, "few": 0}))
+    rng = random.Random(9)
+    items = spark.createDataFrame([(n, rng.choice([7, rng.randint(1, 100)])) for n in range(800)], "i long, n long")
+    caps = spark.createDataFrame([(1, 100), (2, 64)], "c int, s int")
+    held = Counter()
+    for r in containers(items, "i", "n", caps, "c", "s").collect():
+        held[r.c, r.container] += r.piece_length
+    assert max(v for (c, _), v in held.items() if c == 1) <= 100 and max(v for (c, _), v in held.items() if c == 2) <= 64
+    assert sum(v for (c, _), v in held.items() if c == 1) == items.agg(F.sum("n")).first()[0]
