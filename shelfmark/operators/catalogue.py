@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 IDENTITY = ["inode", "device_id", "size"]
 
 
+def new_id(bucket: Column, key: Column, created_ns: Column) -> Column:
+    """The id of an object created at a place at some moment: repeatable, and another one than that of what was there before."""
+    return F.sha2(F.concat_ws("/", bucket, key, created_ns), 256)
+
+
 def in_scope(key: Column, subtree: Optional[str] = None, files: Optional[Sequence[str]] = None) -> Column:
     """Whether a scan covers a key: those files, that subtree, or the whole bucket."""
     if files is not None:
@@ -81,7 +86,7 @@ def next_catalogue(catalogue: DataFrame, disk: DataFrame, classified: DataFrame,
     }).select(*catalogue.columns)
     added = disk.join(classified.filter("class = 'new'").select("bucket", "key"), ["bucket", "key"], "left_semi").dropDuplicates(["bucket", "key"])
     new = added.select("bucket", "key", *IDENTITY).withColumns({
-        "id": F.sha2(F.concat_ws("/", "bucket", "key"), 256), "scan_level": F.lit(1), "created_at_ns": F.lit(now_ns), "last_modified_ns": F.lit(now_ns),
+        "id": new_id(F.col("bucket"), F.col("key"), F.lit(now_ns)), "scan_level": F.lit(1), "created_at_ns": F.lit(now_ns), "last_modified_ns": F.lit(now_ns),
     })
     out = out.unionByName(new, allowMissingColumns=True).select(*catalogue.columns)
     if "prefix" in out.columns:
@@ -181,7 +186,7 @@ def copies(existing: DataFrame, requests: DataFrame, now_ns: int) -> DataFrame:
     made = existing.join(requests.select("bucket", "key", "to_bucket", "to_key").distinct(), ["bucket", "key"])
     return made.withColumns({
         "bucket": F.col("to_bucket"), "key": F.col("to_key"), "prefix": key_prefix(F.col("to_key")), "name": key_name(F.col("to_key")),
-        "id": F.sha2(F.concat_ws("/", "to_bucket", "to_key"), 256), "created_at_ns": F.lit(now_ns), "last_modified_ns": F.lit(now_ns),
+        "id": new_id(F.col("to_bucket"), F.col("to_key"), F.lit(now_ns)), "created_at_ns": F.lit(now_ns), "last_modified_ns": F.lit(now_ns),
     }).select(*existing.columns)
 
 

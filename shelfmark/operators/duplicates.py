@@ -9,11 +9,13 @@ import base64
 from collections.abc import Sequence
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import slashes
-from shelfmark.operators.skew import fragment_join
+from shelfmark.operators.listing import cut, token_of
+from shelfmark.operators.skew import fragment_join, key_join
+from shelfmark.session import materialise
 
 # Files that systems drop into directories, no part of a directory's content.
 JUNK = [".DS_Store", "Thumbs.db", "desktop.ini"]
@@ -56,10 +58,22 @@ def groups_page(found: DataFrame, limit: int, token: Optional[str] = None) -> Da
     """The next limit groups by size, largest first, then hash, after that of token; a bad token is ignored."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    if (last := decode_group_token(token)) is not None:
-        size, digest = last
-        found = found.filter((F.col("total_size") < size) | ((F.col("total_size") == size) & (F.col("checksum_sha256") > digest)))
-    return found.orderBy(F.col("total_size").desc(), "checksum_sha256").limit(limit)
+    return _after_group(found, token).orderBy(F.col("total_size").desc(), "checksum_sha256").limit(limit)
+
+
+def _after_group(found: DataFrame, token: Optional[str]) -> DataFrame:
+    """Groups after that of a token, by size and hash."""
+    if (last := decode_group_token(token)) is None:
+        return found
+    size, digest = last
+    return found.filter((F.col("total_size") < size) | ((F.col("total_size") == size) & (F.col("checksum_sha256") > digest)))
+
+
+def groups_page_more(found: DataFrame, limit: int, token: Optional[str] = None) -> DataFrame:
+    """groups_page with has_more and next_token."""
+    after = _after_group(found, token)
+    here = token_of(F.concat_ws(":", F.col("total_size").cast("string"), "checksum_sha256"))
+    return cut(after, [F.col("total_size").desc(), F.col("checksum_sha256")], limit, here)
 
 
 def encode_group_token(size: int, digest: str) -> str:
@@ -76,6 +90,26 @@ def decode_group_token(token: Optional[str]) -> Optional[tuple[int, str]]:
         return None
 
 
+def cross_bucket_report(df: DataFrame, limit: int) -> DataFrame:
+    """(checksum_sha256, bucket, key, truncated): the files of the first limit groups over all buckets, by hash, and whether there are more groups."""
+    first = materialise(cut(cross_bucket_groups(df).select("checksum_sha256"), [F.col("checksum_sha256")], limit, F.lit(None).cast("string")))
+    found = key_join(df.select("checksum_sha256", "bucket", "key"), first.select("checksum_sha256", F.col("has_more").alias("truncated")), ["checksum_sha256"])
+    return found.select("checksum_sha256", "bucket", "key", "truncated")
+
+
+def groups_so_far(df: DataFrame, allow_partial: bool = False) -> DataFrame:
+    """groups of each bucket, with scan_complete and pending: whether all of its files have been hashed, and how many have not.
+
+    Unless a partial answer is allowed, a bucket that is not complete is an error.
+    """
+    from shelfmark.operators.stats import ScanPending, scan_status
+
+    status = materialise(scan_status(df).select("bucket", "pending"))
+    if not allow_partial and (waiting := status.filter("pending > 0").orderBy("bucket").first()):
+        raise ScanPending(f"{waiting.pending} files of {waiting.bucket} are pending")
+    return groups(df).join(status, "bucket").withColumn("scan_complete", F.col("pending") == 0)
+
+
 def members(df: DataFrame, found: DataFrame, within: Sequence[str] = ("bucket",)) -> DataFrame:
     """Files of the groups found; a content that most files have is split over tasks."""
     return fragment_join(df, found.select(*within, "checksum_sha256"), [*within, "checksum_sha256"], "left_semi")
@@ -131,6 +165,26 @@ def directories_page(found: DataFrame, limit: int, after: Optional[str] = None)
     return (found.filter(F.col("dir_hash") > after) if after else found).orderBy("dir_hash").limit(limit)
 
 
+def encode_directory_token(digest: str) -> str:
+    """A continuation token for a group of directories."""
+    return base64.b64encode(digest.encode()).decode()
+
+
+def decode_directory_token(token: Optional[str]) -> Optional[str]:
+    """The hash of a token, or None."""
+    try:
+        return base64.b64decode(token or "", validate=True).decode() or None
+    except ValueError:
+        return None
+
+
+def directories_page_more(found: DataFrame, limit: int, token: Optional[str] = None) -> DataFrame:
+    """The next limit directory groups by hash, after that of a token, with has_more and next_token; a bad token is ignored."""
+    after = decode_directory_token(token)
+    found = found.filter(F.col("dir_hash") > after) if after else found
+    return cut(found, [F.col("dir_hash")], limit, token_of(F.col("dir_hash")))
+
+
 def compare(left: DataFrame, right: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
     """(by, status, left_hash, right_hash) of a full comparison by relative path.
 
@@ -158,9 +212,3 @@ def first_sizes(df: DataFrame, within: Sequence[str] = ("bucket",)) -> DataFrame
     """(within, checksum_sha256, size): the size of each content's first file in listing order."""
     first = F.min_by(F.col("size"), F.struct("prefix", "name"))
     return df.filter(F.col("checksum_sha256").isNotNull()).groupBy(*within, "checksum_sha256").agg(first.alias("size"))
-
-
-def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the first in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_turn", F.row_number().over(w)).filter("_turn = 1").drop("_turn")

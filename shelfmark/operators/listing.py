@@ -11,7 +11,7 @@ import base64
 from collections.abc import Iterator, Sequence
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ORDER = ["prefix", "name"]
@@ -30,6 +30,33 @@ def beyond(after: Optional[tuple[str, str]]) -> Column:
     return (F.col("prefix") > prefix) | ((F.col("prefix") == prefix) & (F.col("name") > name))
 
 
+def token_of(text: Column) -> Column:
+    """A continuation token for a text: its base64, in one line."""
+    return F.regexp_replace(F.base64(text.cast("binary")), r"\s", "")
+
+
+def cut(found: DataFrame, order: Sequence[Column], limit: int, token: Column) -> DataFrame:
+    """The first limit rows in an order that is total, with has_more and, if there are more, next_token: that of the last row.
+
+    One row more than the limit is taken to see whether there are more; the windows see no others.
+    """
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    top = found.withColumn("_token", token).orderBy(*order).limit(limit + 1)
+    turn, whole = F.row_number().over(Window.orderBy(*order)), Window.partitionBy(F.lit(0))
+    top = top.withColumn("_turn", turn).withColumn("has_more", F.max("_turn").over(whole) > limit)
+    last = F.max(F.when(F.col("_turn") == limit, F.col("_token"))).over(whole)
+    return top.withColumn("next_token", F.when(F.col("has_more"), last)).filter(F.col("_turn") <= limit).drop("_turn", "_token")
+
+
+def page_more(df: DataFrame, limit: int, prefix: str = "", token: Optional[str] = None) -> DataFrame:
+    """page, after the key of a token, with has_more and next_token; a token that can't be read is ignored."""
+    key = decode_token(token)
+    after = None if key is None else (key[: key.rfind("/") + 1], key[key.rfind("/") + 1 :])
+    found = df.filter(under(F.col("key"), prefix) & beyond(after))
+    return cut(found, [F.col(c) for c in ORDER], limit, token_of(F.col("key")))
+
+
 def page(df: DataFrame, limit: int, prefix: str = "", after: Optional[tuple[str, str]] = None) -> DataFrame:
     """The first limit rows under prefix after a place, in listing order; limit is at least 1."""
     if limit < 1:
@@ -68,7 +95,7 @@ def entries(df: DataFrame, prefix: str = "", delimiter: str = "/", within: Seque
 
 
 def entries_page(df: DataFrame, limit: int, prefix: str = "", delimiter: str = "/", token: Optional[str] = None, within: Sequence[str] = ()) -> DataFrame:
-    """A page of entries in bytewise order of within and entry after that of token, and has_more on each row.
+    """A page of entries in bytewise order of within and entry after that of token, with has_more and next_token on each row.
 
     Pages are cut from rolled-up entries, so an entry is on one page only and none is lost between two.
     Keys below the last common prefix are skipped by the scan already. A token is made of the last row's
@@ -84,9 +111,8 @@ def entries_page(df: DataFrame, limit: int, prefix: str = "", delimiter: str = "
         for c, v in reversed(list(zip(within, place))):
             after = (F.col(c) > v) | ((F.col(c) == v) & after)
         df = df.filter(after)
-    found = entries(df, prefix, delimiter, within).orderBy(*within, "entry", "kind").limit(limit + 1)
-    numbered = found.agg(F.array_sort(F.collect_list(F.struct(*within, "entry", "kind", "size"))).alias("all"))  # at most limit + 1 rows
-    return numbered.select(F.explode(F.slice("all", 1, limit)).alias("e"), (F.size("all") > limit).alias("has_more")).select(*[f"e.{c}" for c in within], "e.kind", "e.entry", "e.size", "has_more")
+    here = F.concat_ws("\0", *within, "entry")
+    return cut(entries(df, prefix, delimiter, within), [F.col(c) for c in (*within, "entry", "kind")], limit, token_of(here))
 
 
 def encode_token(text: str, *place: str) -> str:
@@ -102,6 +128,22 @@ def decode_token(token: Optional[str]) -> Optional[str]:
         return None
 
 
+def get(df: DataFrame, bucket: str, key: str) -> DataFrame:
+    """The row of a key: a filter of the stored prefix and name, which the scan gets."""
+    at = key.rfind("/") + 1
+    return df.filter((F.col("bucket") == bucket) & (F.col("prefix") == key[:at]) & (F.col("name") == key[at:]))
+
+
+def get_by_id(df: DataFrame, id: str) -> DataFrame:
+    """The row of an id: an object, an upload or, by its number, a directory."""
+    return df.filter(F.col("id") == id)
+
+
+def get_by_identity(df: DataFrame, bucket: str, inode: int, device_id: int) -> DataFrame:
+    """The first row, by key, of a file identity of a bucket."""
+    return df.filter((F.col("bucket") == bucket) & (F.col("inode") == inode) & (F.col("device_id") == device_id)).orderBy("key").limit(1)
+
+
 def by_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of the keys of keys(position, bucket, key), with their position; keys without a row are left out."""
     return keys.join(df, ["bucket", "key"])

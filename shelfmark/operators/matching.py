@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.values import event_kind
 from shelfmark.session import small
 
 
 def event_matches(patterns: Column, name: Column) -> Column:
-    """Whether any pattern covers an event name: 'x:*' as a beginning, all others as a whole."""
-    return F.exists(patterns, lambda p: F.when(p.endswith(":*"), F.startswith(name, F.left(p, F.length(p) - 1))).otherwise(p == name))
+    """Whether any pattern covers an event name: 'x:*' as a beginning, all others as a whole.
+
+    Letter case, white space around and a missing 's3:' before them make no difference.
+    """
+    full = lambda c: F.concat(F.lit("s3:"), event_kind(c))
+    named = full(name)
+
+    def covers(p: Column) -> Column:
+        whole = full(p)
+        return F.when(F.trim(p) == "*", False).when(whole.endswith(":*"), F.startswith(named, F.left(whole, F.length(whole) - 1))).otherwise(whole == named)
+
+    return F.exists(patterns, covers)
 
 
 def deliveries(events: DataFrame, webhooks: DataFrame, most: int = 50_000) -> DataFrame:

@@ -8,6 +8,8 @@ from typing import Optional
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.listing import cut
+
 #: Part numbers go from 1 to this one.
 LAST_PART = 10_000
 
@@ -50,6 +52,11 @@ def uploads_page(uploads: DataFrame, limit: int, prefix: str = "", key_marker: O
     """The next limit uploads by key and id, after the markers; an id marker without a key marker gives none."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
+    return _uploads(uploads, prefix, key_marker, id_marker).orderBy("key", "id").limit(limit)
+
+
+def _uploads(uploads: DataFrame, prefix: str, key_marker: Optional[str], id_marker: Optional[str]) -> DataFrame:
+    """Uploads under a prefix after the markers."""
     if id_marker and not key_marker:
         return uploads.limit(0)
     escaped = prefix.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
@@ -57,7 +64,18 @@ def uploads_page(uploads: DataFrame, limit: int, prefix: str = "", key_marker: O
     if key_marker:
         later = F.col("key") > key_marker
         rows = rows.filter(later | ((F.col("key") == key_marker) & (F.col("id") > id_marker)) if id_marker else later)
-    return rows.orderBy("key", "id").limit(limit)
+    return rows
+
+
+def parts_page_more(parts: DataFrame, upload_id: str, limit: int = 1000, after: int = 0) -> DataFrame:
+    """parts_page with has_more and next_token, the number to go on after."""
+    rows = parts.filter((F.col("upload_id") == upload_id) & (F.col("part_number") > after))
+    return cut(rows, [F.col("part_number")], min(limit, 1000), F.col("part_number"))
+
+
+def uploads_page_more(uploads: DataFrame, limit: int, prefix: str = "", key_marker: Optional[str] = None, id_marker: Optional[str] = None) -> DataFrame:
+    """uploads_page with has_more and next_token, the key and id to go on after."""
+    return cut(_uploads(uploads, prefix, key_marker, id_marker), [F.col("key"), F.col("id")], limit, F.struct(F.col("key").alias("key_marker"), F.col("id").alias("id_marker")))
 
 
 def abandoned(uploads: DataFrame, parts: DataFrame, before: datetime) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.digests import with_digests
 from shelfmark.functions.scalars import key_name, key_prefix
 from shelfmark.functions.values import DEFAULT_CONTENT_TYPE
-from shelfmark.operators.catalogue import upsert
+from shelfmark.operators.catalogue import new_id, upsert
 from shelfmark.operators.matching import digest_mismatch
 from shelfmark.operators.multipart import LAST_PART, check_request, composite_etags
 
@@ -29,7 +29,7 @@ def received(uploads: DataFrame) -> DataFrame:
 def stored(existing: DataFrame, uploads: DataFrame, now_ns: int) -> DataFrame:
     """The catalogue with what was received and not refused put in at level 3; the file's own time, if given as file_mtime_ns, is kept."""
     rows = uploads.filter("refused is null").withColumns({
-        "id": F.sha2(F.concat_ws("/", "bucket", "key"), 256), "prefix": key_prefix(F.col("key")), "name": key_name(F.col("key")),
+        "id": new_id(F.col("bucket"), F.col("key"), F.lit(now_ns)), "prefix": key_prefix(F.col("key")), "name": key_name(F.col("key")),
         "scan_level": F.lit(3), "created_at_ns": F.lit(now_ns), "last_modified_ns": F.lit(now_ns),
     })
     return upsert(existing, rows, ["bucket", "key"], ["last_modified_ns"])
@@ -56,7 +56,7 @@ def completed(uploads: DataFrame, parts: DataFrame, requested: DataFrame, now_ns
     outcomes = whole.join(there, "upload_id", "left").withColumn("outcome", outcome)
     rows = outcomes.filter("outcome = 'complete'").join(composite_etags(checked), "upload_id")
     objects = rows.select(
-        "bucket", F.sha2(F.concat_ws("/", "bucket", "key"), 256).alias("id"), key_prefix(F.col("key")).alias("prefix"), key_name(F.col("key")).alias("name"), "key", "size", "etag",
+        "bucket", new_id(F.col("bucket"), F.col("key"), F.lit(now_ns)).alias("id"), key_prefix(F.col("key")).alias("prefix"), key_name(F.col("key")).alias("name"), "key", "size", "etag",
         F.coalesce("content_type", F.lit(DEFAULT_CONTENT_TYPE)).alias("content_type"), F.lit(2).alias("scan_level"), F.lit(now_ns).alias("created_at_ns"), F.lit(now_ns).alias("last_modified_ns"),
     )
     return objects, outcomes.select("upload_id", "outcome")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scalars import percent_complete
+from shelfmark.functions.scalars import key_name, key_prefix, percent_complete
 from shelfmark.operators.duplicates import directory_groups
 
 
@@ -49,14 +51,29 @@ def remaining(objects: DataFrame, level: int = 3) -> DataFrame:
     return objects.filter(F.col("scan_level") < level).groupBy("bucket").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def byte_budget(objects: DataFrame, level: int, budget: int, rows: int = 10_000) -> DataFrame:
+def byte_budget_report(objects: DataFrame, level: int, budget: int, rows: int = 10_000, after: Optional[DataFrame] = None) -> DataFrame:
+    """(bucket, files, bytes, last_key, exhausted) of the batches of byte_budget: where the next one goes on, and whether there is one.
+
+    A batch that neither reached the budget nor has as many files as may be is the last of its bucket.
+    """
+    batch = byte_budget(objects, level, budget, rows, after)
+    sums = batch.groupBy("bucket").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max_by("key", F.struct("prefix", "name")).alias("last_key"))
+    return sums.withColumn("exhausted", (F.col("bytes") < budget) & (F.col("files") < rows))
+
+
+def byte_budget(objects: DataFrame, level: int, budget: int, rows: int = 10_000, after: Optional[DataFrame] = None) -> DataFrame:
     """By bucket the next files below the level in listing order, until their sizes reach the budget: at least one, at most `rows`.
 
+    after has (bucket, last_key): the files of a bucket up to that key are left out.
+
     Each bucket is cut into slices by a hash of the key, of which the first `rows` stay; a bucket with
     most files is many slices. Running sums then see so many rows of a bucket as there are slices times
     that, whatever its size.
     """
     order = Window.partitionBy("bucket").orderBy("prefix", "name")
+    if after is not None:
+        reached = after.select("bucket", F.struct(key_prefix(F.col("last_key")).alias("prefix"), key_name(F.col("last_key")).alias("name")).alias("_reached"))
+        objects = objects.join(F.broadcast(reached), "bucket", "left").filter(F.col("_reached").isNull() | (F.struct("prefix", "name") > F.col("_reached")))  # one row a bucket
     sliced = objects.filter(F.col("scan_level") < level).select("bucket", "prefix", "name", "key", F.coalesce("size", F.lit(0)).alias("size"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("slice"))
     local = Window.partitionBy("bucket", "slice").orderBy("prefix", "name")
     kept = sliced.withColumn("turn", F.row_number().over(local)).filter(F.col("turn") <= rows).drop("slice")

@@ -23,7 +23,7 @@ from shelfmark.operators import multipart as P
 from shelfmark.operators import stats as T
 from shelfmark.operators import tags as G
 from shelfmark.plans.problems import object_changes, p1_found
-from shelfmark.session import small
+from shelfmark.session import materialise, small
 from shelfmark.sources.tables import table
 
 #: When changes made by queries are said to happen.
@@ -90,6 +90,18 @@ def dup_page2(spark: SparkSession, folder: str) -> DataFrame:
     return U.groups_page(found, 100, U.encode_group_token(1_000_000, "0"))
 
 
+def dup_page_more(spark: SparkSession, folder: str) -> DataFrame:
+    return U.groups_page_more(U.cross_bucket_groups(catalogue(spark, folder, "checksum_sha256", "size")), 50, U.encode_group_token(1_000_000, "0")).fillna("", ["next_token"])
+
+
+def dup_cross_members(spark: SparkSession, folder: str) -> DataFrame:
+    return U.cross_bucket_report(catalogue(spark, folder, "key", "checksum_sha256", "size"), 100)
+
+
+def dup_partial(spark: SparkSession, folder: str) -> DataFrame:
+    return U.groups_so_far(catalogue(spark, folder, "checksum_sha256", "size", "scan_level"), allow_partial=True)
+
+
 def dup_key_contains(spark: SparkSession, folder: str) -> DataFrame:
     return U.groups(catalogue(spark, folder, "key", "checksum_sha256", "size"), key_contains="REPORT%.")
 
@@ -145,6 +157,10 @@ def dup_dirs_page(spark: SparkSession, folder: str) -> DataFrame:
     return U.directories_page(U.directory_groups(hashed_directories(spark, folder), within=[]), 100, "4")
 
 
+def dup_dirs_page_more(spark: SparkSession, folder: str) -> DataFrame:
+    return U.directories_page_more(U.directory_groups(hashed_directories(spark, folder), within=[]), 100, U.encode_directory_token("4")).fillna("", ["next_token"])
+
+
 def compare_dirs(spark: SparkSession, folder: str) -> DataFrame:
     rows = catalogue(spark, folder, "key", "checksum_sha256", where=F.col("key").startswith("archive/") | F.col("key").startswith("exports/")).withColumn("path", F.regexp_replace("key", "^[^/]*/", ""))
     side = lambda d: rows.filter(F.col("key").startswith(d)).groupBy("bucket", "path").agg(F.min("checksum_sha256").alias("checksum_sha256"))
@@ -197,7 +213,7 @@ def list_delimiter_below(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_entries_page(spark: SparkSession, folder: str) -> DataFrame:
-    return L.entries_page(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), 50, "archive/", "/", L.encode_token("archive/delta/")).fillna(-1, ["size"])
+    return L.entries_page(catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/")), 50, "archive/", "/", L.encode_token("archive/delta/")).drop("next_token").fillna(-1, ["size"])
 
 
 def list_bucket_delimiter(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,7 +227,18 @@ def list_bucket_delimiter_below(spark: SparkSession, folder: str) -> DataFrame:
 
 def list_bucket_entries_page(spark: SparkSession, folder: str) -> DataFrame:
     rows = catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/"))
-    return L.entries_page(rows, 50, "archive/", "/", L.encode_token("archive/delta/", "field-notes"), ["bucket"]).fillna(-1, ["size"])
+    return L.entries_page(rows, 50, "archive/", "/", L.encode_token("archive/delta/", "field-notes"), ["bucket"]).drop("next_token").fillna(-1, ["size"])
+
+
+def list_bucket_entries_more(spark: SparkSession, folder: str) -> DataFrame:
+    """The first entries of all buckets below a prefix, and the token to go on with."""
+    rows = catalogue(spark, folder, "key", "size", where=L.under(F.col("key"), "archive/"))
+    return L.entries_page(rows, 20, "archive/", "/", None, ["bucket"]).fillna(-1, ["size"]).fillna("", ["next_token"])
+
+
+def list_page_more(spark: SparkSession, folder: str) -> DataFrame:
+    rows = catalogue(spark, folder, *PLACE, where=(F.col("bucket") == "field-notes") & L.beyond(("archive/", "")))
+    return L.page_more(rows, 50, "", L.encode_token("archive/")).select("bucket", "id", "key", "has_more", "next_token").fillna("", ["next_token"])
 
 
 def list_by_parent(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,6 +258,17 @@ def get_objects(spark: SparkSession, folder: str) -> DataFrame:
     return p1_found(spark, folder).select("bucket", F.col("object_key").alias("key")).join(catalogue(spark, folder, "key", "size", "scan_level"), ["bucket", "key"]).select("bucket", "key", "id", "size", "scan_level").fillna(-1, ["size"])
 
 
+def get_object(spark: SparkSession, folder: str) -> DataFrame:
+    """The object whose key comes first in its bucket, looked up by key, by id and by the identity of its file."""
+    rows = table(spark, folder, "objects").select("bucket", "id", "prefix", "name", "key", "inode", "device_id")
+    first = rows.filter("key is not null and inode is not null and device_id is not null").orderBy("bucket", "key").first()
+    if first is None:
+        return rows.select(F.lit("key").alias("by"), "bucket", "id", "key").limit(0)
+    found = {"key": L.get(rows, first.bucket, first.key), "id": L.get_by_id(rows, first.id), "identity": L.get_by_identity(rows, first.bucket, first.inode, first.device_id)}
+    each = [df.select(F.lit(by).alias("by"), "bucket", "id", "key").distinct() for by, df in found.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def get_by_inode(spark: SparkSession, folder: str) -> DataFrame:
     """The first object of each file identity."""
     known = catalogue(spark, folder, "key", "inode", "device_id").filter("inode is not null and device_id is not null")
@@ -264,6 +302,13 @@ def byte_budget(spark: SparkSession, folder: str) -> DataFrame:
     return T.byte_budget(catalogue(spark, folder, *PLACE, "size", "scan_level", where=F.col("scan_level") < 3), 3, 50 << 20).select("bucket", "key", "size", "running")
 
 
+def byte_budget_next(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each bucket the batch after the first one."""
+    rows = catalogue(spark, folder, *PLACE, "size", "scan_level", where=F.col("scan_level") < 3)
+    first = materialise(T.byte_budget_report(rows, 3, 50 << 20, 100))
+    return T.byte_budget_report(rows, 3, 50 << 20, 100, first)
+
+
 def upload_throughput(spark: SparkSession, folder: str) -> DataFrame:
     """The smoothed size of the parts of each upload, in part order, and the budget it would give."""
     parts = P.current_parts(table(spark, folder, "parts").withColumn("upload_id", canonical_uuid(F.col("upload_id"))).filter("upload_id is not null"))
@@ -491,6 +536,57 @@ def key_parts(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue(spark, folder, "key").select("id", S.key_prefix(k).alias("prefix"), S.key_name(k).alias("name"), S.slashes(k).alias("depth"), S.uri_encode(k, True).alias("encoded"), S.xml_escape(k).alias("escaped"))
 
 
+def scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Which keys scans of a subtree and of some files cover."""
+    files = ["archive/delta/index.html", "readme.txt"]
+    return catalogue(spark, folder, "key").select("id", C.in_scope(F.col("key"), "archive/").alias("in_subtree"), C.in_scope(F.col("key"), files=files).alias("in_files"), C.in_scope(F.col("key")).alias("in_bucket"))
+
+
+def file_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys, and what may be made of them: whether each may name a file."""
+    k = F.col("key")
+    made = F.array(k, F.concat(F.lit("/"), k), F.regexp_replace(k, "/", "/../"), F.concat(F.lit(".shelfmark/"), k), F.lit(""))
+    return catalogue(spark, folder, "key").select("id", F.posexplode(made).alias("n", "made")).select("id", "n", S.names_a_file(F.col("made")).alias("names_a_file"))
+
+
+def durations(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of parts read as durations in each unit, and in one that is none."""
+    units = F.array(*[F.lit(u) for u in ("s", "m", "h", "d", "w", "")])
+    rows = table(spark, folder, "parts").select("part_number").distinct()
+    text = F.concat(F.col("part_number").cast("string"), "unit")
+    return rows.select("part_number", F.explode(units).alias("unit")).select(text.alias("text"), F.coalesce(S.duration_seconds(text), F.lit(-1)).alias("seconds"))
+
+
+def copy_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of copies as they are sent: a bucket and an encoded key."""
+    source = F.concat(F.lit("/"), "bucket", F.lit("/"), S.uri_encode(F.col("key"), True))
+    rows = catalogue(spark, folder, "key", where=F.col("key").isNotNull())
+    return rows.select("id", S.bucket_and_key(source).alias("s")).select("id", "s.bucket", "s.key")
+
+
+def metadata_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of metadata written as JSON and read again; a text that is cut off is empty metadata."""
+    text = F.to_json("metadata")
+    rows = catalogue(spark, folder).select("id", S.json_map(text).alias("whole"), S.json_map(F.substring(text, 1, 5)).alias("cut"))
+    return rows.select("id", F.size("whole").alias("entries"), F.size("cut").alias("entries_cut"))
+
+
+def metadata_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata sent as headers, among others, and found again by their prefix."""
+    named = F.transform_keys("metadata", lambda k, v: F.concat(F.lit("X-Amz-Meta-"), F.upper(k)))
+    both = F.map_concat(named, F.create_map(F.lit("content-type"), F.lit("x")))
+    rows = catalogue(spark, folder).filter("metadata is not null").select("id", S.headers_with_prefix(both, "x-amz-meta-").alias("m"))
+    return rows.select("id", F.explode("m").alias("name", "value"))
+
+
+def rates(spark: SparkSession, folder: str) -> DataFrame:
+    """By bucket the rate at which files would have been hashed in ten seconds, had all that are known been of the size of those done."""
+    rows = catalogue(spark, folder, "scan_level", "size")
+    done = F.col("scan_level") >= 3
+    sums = rows.groupBy("bucket").agg(F.coalesce(F.sum(F.when(done, F.col("size"))), F.lit(0)).alias("size"), F.count_if(done).alias("done"), F.count(F.lit(1)).alias("tried"))
+    return sums.select("bucket", F.round(S.extrapolated_rate(F.col("size"), F.col("done"), F.col("tried"), F.lit(10.0)), 3).alias("rate"))
+
+
 def size_texts(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue(spark, folder, "size").select("id", S.human_size(F.col("size")).alias("size_text"))
 
@@ -520,12 +616,12 @@ def byte_ranges(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dup_groups, dup_members, dup_first_size, dup_page, dup_page2, dup_key_contains, dup_key_depth, dup_cross_bucket, bucket_stats,
-        dir_hashes, dup_dirs, dup_dirs_members, dup_dirs_prefix, dup_dirs_min_files, dup_dirs_page, compare_dirs, compare_buckets, compare_buckets_by_key, compare_summary,
-        list_flat, list_prefix, list_page, list_keys, list_delimiter, list_delimiter_below, list_entries_page, list_bucket_delimiter, list_bucket_delimiter_below, list_bucket_entries_page, list_by_parent, list_root, list_buckets, get_objects, get_by_inode,
-        count_objects, scan_status, remaining, at_level_3, below_level_page, byte_budget, upload_throughput,
+        dup_groups, dup_members, dup_first_size, dup_page, dup_page2, dup_page_more, dup_cross_members, dup_partial, dup_key_contains, dup_key_depth, dup_cross_bucket, bucket_stats,
+        dir_hashes, dup_dirs, dup_dirs_members, dup_dirs_prefix, dup_dirs_min_files, dup_dirs_page, dup_dirs_page_more, compare_dirs, compare_buckets, compare_buckets_by_key, compare_summary,
+        list_flat, list_prefix, list_page, list_keys, list_delimiter, list_delimiter_below, list_entries_page, list_bucket_delimiter, list_bucket_delimiter_below, list_bucket_entries_page, list_bucket_entries_more, list_page_more, list_by_parent, list_root, list_buckets, get_objects, get_object, get_by_inode,
+        count_objects, scan_status, remaining, at_level_3, below_level_page, byte_budget, byte_budget_next, upload_throughput,
         l1_classify, l1_moves, l1_stale, l1_report, l1_next, upsert_latest, delete_anti, bulk_delete, rename_apply, rename_outcomes, enrich_monotone, reset_level, copy_apply, merge_plan, stale_dirs,
         integrity_reasons, integrity_rollup, tags_get, tags_limits, multipart_etag, multipart_check, multipart_list, abandoned_uploads, webhook_match, cors_match, conditional_get,
-        digests, crc_digests, content_types, key_parts, size_texts, bucket_names, date_texts, byte_ranges,
+        digests, crc_digests, content_types, key_parts, scopes, file_keys, durations, copy_sources, metadata_texts, metadata_headers, rates, size_texts, bucket_names, date_texts, byte_ranges,
     )
 }

@@ -57,6 +57,21 @@ def parts_page(spark: SparkSession, folder: str) -> DataFrame:
     return P.parts_page(parts, top.upload_id if top else "", 20, 5).select("upload_id", "part_number", "etag", "size").fillna(-1, ["size"])
 
 
+def parts_page_more(spark: SparkSession, folder: str) -> DataFrame:
+    """The first parts of the upload with most part numbers, and where to go on."""
+    parts = P.current_parts(table(spark, folder, "parts").withColumn("upload_id", canonical_uuid(F.col("upload_id"))).filter("upload_id is not null"))
+    top = parts.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "upload_id").first()
+    return P.parts_page_more(parts, top.upload_id if top else "", 7).select("upload_id", "part_number", "has_more", "next_token").fillna(-1, ["next_token"])
+
+
+def uploads_page_more(spark: SparkSession, folder: str) -> DataFrame:
+    """Uploads after a key and id, and the markers to go on with."""
+    uploads = table(spark, folder, "multipart_uploads").select("bucket", "id", "key").distinct()
+    mark = uploads.orderBy("key", "id").first()
+    found = P.uploads_page_more(uploads, 10, "", mark.key if mark else None, mark.id if mark else None)
+    return found.select("bucket", "id", "key", "has_more", F.coalesce("next_token.key_marker", F.lit("")).alias("key_marker"), F.coalesce("next_token.id_marker", F.lit("")).alias("id_marker"))
+
+
 def head_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Objects of the catalogue that the event feed says exist."""
     files = p1_found(spark, folder).select("bucket", F.col("object_key").alias("key"))
@@ -100,4 +115,4 @@ def link_expiry(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", signed.alias("signed"), O.expired(signed, F.lit(86400), F.col("deleted_at")).alias("expired"))
 
 
-QUERIES = {f.__name__: f for f in (put_objects, multipart_complete, multipart_objects, cleanup_report, parts_page, head_objects, fetch_by_keys, dir_sizes, dirs_unhashed, dirs_stored, query_strings, link_expiry)}
+QUERIES = {f.__name__: f for f in (put_objects, multipart_complete, multipart_objects, cleanup_report, parts_page, parts_page_more, uploads_page_more, head_objects, fetch_by_keys, dir_sizes, dirs_unhashed, dirs_stored, query_strings, link_expiry)}

@@ -1,6 +1,5 @@
 """SQL for DuckDB with the rows of the catalogue queries."""
 
-from shelfmark.functions.scalars import content_types
 from shelfmark.plans.catalogue import NOW_NS
 
 SQL: dict[str, str] = {}
@@ -147,7 +146,7 @@ SQL["l1_moves"] = _L1 + "select bucket, old_key, key from cls where class = 'mov
 SQL["l1_stale"] = _L1 + "select bucket, key from cls where class = 'deleted'"
 SQL["l1_report"] = _L1 + 'select bucket, count(*) filter (where class = \'new\') as "new", count(*) filter (where class = \'unchanged\') as unchanged, count(*) filter (where class = \'modified\') as modified, count(*) filter (where class = \'moved\') as moved, count(*) filter (where class = \'deleted\') as deleted from cls group by 1'
 SQL["l1_next"] = _L1 + f"""
-select c.bucket, c.key, sha256(c.bucket || '/' || coalesce(c.old_key, c.key)) as id, n.size, n.inode,
+select c.bucket, c.key, sha256(c.bucket || '/' || coalesce(c.old_key, c.key) || case when class = 'new' then '/{NOW_NS}' else '' end) as id, n.size, n.inode,
   case when class in ('new', 'modified') then 1 else 2 end::int as scan_level, case when class in ('new', 'modified', 'moved') then {NOW_NS} else 0 end::bigint as last_modified_ns
 from cls c join new n on n.bucket = c.bucket and n.key = c.key where class <> 'deleted'
 """
@@ -180,7 +179,7 @@ select c.bucket, c.key, case when w.key is not null and c.scan_level < 2 then w.
   case when w.key is not null and c.scan_level < 2 then 2 else c.scan_level end as scan_level from cat c left join lastw w on c.bucket = w.bucket and c.key = w.key
 """
 SQL["reset_level"] = CAT + _WRITTEN + "select c.bucket, c.key, case when w.key is not null then least(c.scan_level, 1) else c.scan_level end as scan_level from cat c left join lastw w on c.bucket = w.bucket and c.key = w.key"
-SQL["copy_apply"] = CAT + "select 'copies' as bucket, bucket || '/' || key as key, bucket || '/' || prefix as prefix, name, sha256('copies/' || bucket || '/' || key) as id, size, checksum_sha256 from cat where starts_with(prefix, 'shared/')"
+SQL["copy_apply"] = CAT + f"select 'copies' as bucket, bucket || '/' || key as key, bucket || '/' || prefix as prefix, name, sha256('copies/' || bucket || '/' || key || '/{NOW_NS}') as id, size, checksum_sha256 from cat where starts_with(prefix, 'shared/')"
 SQL["merge_plan"] = CAT + """, w as (select distinct lower(winner_object_id) as winner_id from merge_results), asked as (
   select distinct w.winner_id, coalesce(l.id, 'none') as loser_id from w left join cat c on c.id = w.winner_id left join cat l on l.bucket = c.bucket and l.prefix = c.prefix)
 select winner_id, loser_id, case when winner_id = loser_id then 'same_object' when c.id is null or l.id is null then 'no_such_key' when c.checksum_sha256 is null or l.checksum_sha256 is null then 'scan_pending'
@@ -214,11 +213,11 @@ select u.id, u.bucket, u.key, count(c.id) as parts, coalesce(sum(c.size), 0)::bi
 from (select distinct on (id) * from multipart_uploads where initiated_at < '2025-04-01') u left join cur c on c.upload_id = u.id group by 1, 2, 3
 """
 SQL["webhook_match"] = r"""
-with ev as (select event_id, bucket, event_name as n, ltrim(url_decode(replace(object_key, '+', ' ')), '/') as object_key from object_events)
-select event_id, 'w1' as webhook_id, object_key from ev where bucket = 'field-notes' and starts_with(n, 's3:ObjectCreated:') and starts_with(object_key, 'archive/')
-union all select event_id, 'w2', object_key from ev where bucket = 'field-notes' and n in ('s3:ObjectRemoved:Delete', 's3:ObjectCreated:Put') and suffix(object_key, '.jpg')
-union all select event_id, 'w3', object_key from ev where bucket = 'scan-archive' and starts_with(n, 's3:')
-union all select event_id, 'w4', object_key from ev where bucket = 'studio-raw' and (n = 's3:ObjectCreated:P' or starts_with(n, 's3:ObjectTagging:')) and starts_with(object_key, 'teams/') and suffix(object_key, '.json')
+with ev as (select event_id, bucket, string_split(regexp_replace(lower(trim(event_name)), '^s3:', ''), ':') as n, ltrim(url_decode(replace(object_key, '+', ' ')), '/') as object_key from object_events)
+select event_id, 'w1' as webhook_id, object_key from ev where bucket = 'field-notes' and n[1] = 'objectcreated' and starts_with(object_key, 'archive/')
+union all select event_id, 'w2', object_key from ev where bucket = 'field-notes' and n in (['objectremoved', 'delete'], ['objectcreated', 'put']) and suffix(object_key, '.jpg')
+union all select event_id, 'w3', object_key from ev where bucket = 'scan-archive'
+union all select event_id, 'w4', object_key from ev where bucket = 'studio-raw' and (n = ['objectcreated', 'p'] or n[1] = 'objecttagging') and starts_with(object_key, 'teams/') and suffix(object_key, '.json')
 """
 SQL["cors_match"] = """
 with a as (select event_id, event_type = 'view' as v, value > 50 as far, case event_type when 'click' then 'GET' when 'error' then 'HEAD' else 'PUT' end as m from events)
@@ -231,7 +230,9 @@ select event_id, case when held is not distinct from etag and etag is not null t
 """
 
 SQL["digests"] = "select doc_id, '\"' || md5(text) || '\"' as etag, base64(unhex(sha256(text))) as sha256, base64(unhex(sha1(text))) as sha1, octet_length(encode(text))::int as size from documents"
-_KINDS = ", ".join(f"('{e}', '{k}')" for e, k in content_types().items())
+# Kinds of the files that the tables' listings name, as the register of media types has them.
+_KINDS = """('jpg', 'image/jpeg'), ('png', 'image/png'), ('tif', 'image/tiff'), ('pdf', 'application/pdf'), ('json', 'application/json'), ('csv', 'text/csv'), ('txt', 'text/plain'),
+  ('md', 'text/markdown'), ('mp4', 'video/mp4'), ('wav', 'audio/x-wav'), ('bin', 'application/octet-stream')"""
 SQL["content_types"] = f"with kinds(ext, kind) as (values {_KINDS}) select name, coalesce(kind, 'application/octet-stream') as content_type from (select distinct name from disk_snapshot) left join kinds on ext = lower(regexp_extract(name, '[^./]\\.([^./]+)$', 1))"
 SQL["key_parts"] = CAT + """
 select id, regexp_replace(key, '[^/]*$', '') as prefix, regexp_extract(key, '[^/]*$') as name, (length(key) - length(replace(key, '/', '')))::int as depth, replace(url_encode(key), '%2F', '/') as encoded,
@@ -252,6 +253,54 @@ SQL["byte_ranges"] = CAT + """, h as (select id, size, unnest(['bytes=0-' || siz
 select id, header, case k when 1 then 0 when 2 then 1024 else greatest(size - 1024, 0) end::bigint as first, case k when 1 then size // 2 else size - 1 end::bigint as last from h
 """
 
+_PAGE = """
+, top as (select *, row_number() over (order by {order}) as turn from {rows} order by {order} limit {limit} + 1),
+pg as (select *, (select count(*) > {limit} from top) as has_more, (select case when count(*) > {limit} then max({token}) filter (where turn = {limit}) end from top) as nt from top where turn <= {limit})
+"""
+_TO64 = "base64(encode({}))"
+SQL["dup_page_more"] = _CROSS + ", later as (select * from grp where total_size < 1000000 or (total_size = 1000000 and checksum_sha256 > '0'))" + _PAGE.format(
+    rows="later", order="total_size desc, checksum_sha256", limit=50, token=_TO64.format("total_size || ':' || checksum_sha256")
+) + "select checksum_sha256, files, total_size, buckets, has_more, coalesce(nt, '') as next_token from pg"
+SQL["dup_dirs_page_more"] = _ORDERS.format(least=1) + ", later as (select dir_hash, directories, file_count, total_size from grp where dir_hash > '4')" + _PAGE.format(
+    rows="later", order="dir_hash", limit=100, token=_TO64.format("dir_hash")
+) + "select dir_hash, directories, file_count, total_size, has_more, coalesce(nt, '') as next_token from pg"
+SQL["dup_cross_members"] = _CROSS + ", first as (select checksum_sha256, (select count(*) > 100 from grp) as truncated from grp order by 1 limit 100) select c.checksum_sha256, c.bucket, c.key, truncated from cat c join first using (checksum_sha256)"
+SQL["dup_partial"] = _GROUPS.format(match="true") + """
+select g.bucket, checksum_sha256, files, total_size, wasted_size, pending, pending = 0 as scan_complete
+from grp g join (select bucket, count(*) filter (where scan_level < 3) as pending from cat group by 1) using (bucket)
+"""
+SQL["list_bucket_entries_more"] = _BUCKET_ROLL.format(p="archive/", d="/") + _PAGE.format(rows="ent", order="bucket, entry, kind", limit=20, token=_TO64.format("bucket || chr(0) || entry")) + "select bucket, kind, entry, size, has_more, coalesce(nt, '') as next_token from pg"
+SQL["list_page_more"] = CAT + ", later as (select * from cat where bucket = 'field-notes' and (prefix, name) > ('archive/', ''))" + _PAGE.format(
+    rows="later", order="prefix, name", limit=50, token=_TO64.format("key")
+) + "select bucket, id, key, has_more, coalesce(nt, '') as next_token from pg"
+SQL["get_object"] = """
+with o as (select distinct bucket, id, key, inode, device_id from objects), f as (select * from o where key is not null and inode is not null and device_id is not null order by bucket, key limit 1)
+select 'key' as by, o.bucket, o.id, o.key from o join f on o.bucket = f.bucket and o.key = f.key
+union all select 'id', o.bucket, o.id, o.key from o join f on o.id = f.id
+union all select 'identity', bucket, id, key from (select o.* from o join f on o.bucket = f.bucket and o.inode = f.inode and o.device_id = f.device_id order by o.key limit 1)
+"""
+SQL["byte_budget_next"] = CAT + """, one as (select *, sum(coalesce(size, 0)) over w as running, row_number() over w as n from cat where scan_level < 3 window w as (partition by bucket order by prefix, name rows unbounded preceding)),
+rest as (select bucket, prefix, name, key, size from one where not (n <= 100 and (running - coalesce(size, 0) < 52428800 or n = 1))),
+two as (select *, sum(coalesce(size, 0)) over w as running, row_number() over w as n from rest window w as (partition by bucket order by prefix, name rows unbounded preceding))
+select bucket, count(*) as files, sum(coalesce(size, 0))::bigint as bytes, arg_max(key, n) as last_key, sum(coalesce(size, 0)) < 52428800 and count(*) < 100 as exhausted
+from two where n <= 100 and (running - coalesce(size, 0) < 52428800 or n = 1) group by 1
+"""
+SQL["scopes"] = CAT + "select id, starts_with(key, 'archive/') as in_subtree, key in ('archive/delta/index.html', 'readme.txt') as in_files, true as in_bucket from cat"
+SQL["file_keys"] = CAT + """, made as (select id, unnest([0, 1, 2, 3, 4]) as n, unnest([key, '/' || key, replace(key, '/', '/../'), '.shelfmark/' || key, '']) as k from cat)
+select id, n::int as n, coalesce(k <> '' and k not like '/%' and not list_contains(string_split(k, '/'), '..') and string_split(k, '/')[1] <> '.shelfmark', false) as names_a_file from made
+"""
+SQL["durations"] = """
+select part_number || unit as text, case unit when 's' then 1 when 'm' then 60 when 'h' then 3600 when 'd' then 86400 end * part_number::bigint as seconds
+from (select distinct part_number from parts), (values ('s'), ('m'), ('h'), ('d')) u(unit)
+union all select part_number || unit, -1 from (select distinct part_number from parts), (values ('w'), ('')) u(unit)
+"""
+SQL["copy_sources"] = CAT + "select id, bucket, key from cat where key is not null"
+SQL["metadata_texts"] = CAT + "select id, coalesce(cardinality(metadata), 0)::int as entries, 0 as entries_cut from cat"
+SQL["metadata_headers"] = CAT + "select id, lower(e.key) as name, e.value as value from (select id, unnest(map_entries(metadata)) as e from cat)"
+SQL["rates"] = CAT + """, s as (select bucket, coalesce(sum(size) filter (where scan_level >= 3), 0) as size, count(*) filter (where scan_level >= 3) as done, count(*) as tried from cat group by 1)
+select bucket, round(case when done > 0 then size * (tried / done) else size end / 10.0, 3)::double as rate from s
+"""
+
 #: Integers that may be unknown: -1 stands for that in results, so that they stay integers everywhere.
 UNKNOWN = {"dup_first_size": ["size"], "list_delimiter": ["size"], "list_delimiter_below": ["size"], "list_entries_page": ["size"], "get_objects": ["size"], "l1_next": ["size", "inode"], "upsert_latest": ["size"], "enrich_monotone": ["size"], "copy_apply": ["size"], "cors_match": ["rule"]}
 

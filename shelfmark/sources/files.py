@@ -102,14 +102,24 @@ def valid_key(key, root: str = "/root") -> bool:
     return bool(key) and not key.startswith("/") and ".." not in parts and "\0" not in key and parts[0] != STATE_FOLDER
 
 
+def place_of(key: str, root: str) -> str:
+    """The path of a key's file under root; an error if the key may not name a file, or a link lies on the way."""
+    if not valid_key(key):
+        raise ValueError("invalid key")
+    path = os.path.join(root, key)
+    if os.path.realpath(os.path.dirname(path)) != os.path.normpath(os.path.join(os.path.realpath(root), os.path.dirname(key))):
+        raise ValueError("a link on the way")
+    return path
+
+
 DIGEST_SCHEMA = "bucket string, key string, checksum_sha256 string, checksum_sha1 string, checksum_crc32 string, checksum_crc32c string, etag string, size long, mtime_ns long, readable boolean"
 
 
 def hashed(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """Five digests of each file(bucket, key) under root, read in chunks, so no file need fit into memory.
 
-    A file whose time or size changes while it is read has no digests. One that can't be read is not
-    readable; one that is gone has no row. Links get none.
+    A file whose time or size changes while it is read has no digests. One that can't be read, or lies
+    behind a link, is not readable; one that is gone has no row. Links get none.
     """
 
     def run(batches):
@@ -118,23 +128,26 @@ def hashed(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for bucket, key in zip(batch["bucket"], batch["key"]):
-                path = os.path.join(root, key)
+                if not valid_key(key):
+                    continue
                 try:
+                    path = place_of(key, root)
                     before = os.lstat(path)
-                    if stat.S_ISLNK(before.st_mode) or not valid_key(key):
+                    if stat.S_ISLNK(before.st_mode):
                         continue
                     with open(path, "rb") as source:
                         found = stream_digests(source)
                     after = os.lstat(path)
                 except FileNotFoundError:
                     continue
-                except OSError:
+                except (OSError, ValueError):
                     out.append({"bucket": bucket, "key": key, "readable": False})
                     continue
                 same = (before.st_mtime_ns, before.st_size) == (after.st_mtime_ns, after.st_size)
                 row = found if same else {"size": after.st_size}
                 out.append({"bucket": bucket, "key": key, **row, "mtime_ns": after.st_mtime_ns, "readable": True})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST_SCHEMA.split(", ")]).astype({"size": "Int64", "mtime_ns": "Int64"})
+            kinds = {"long": "Int64", "boolean": "boolean"}
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in out], dtype=kinds.get(kind, "object")) for c, kind in map(str.split, DIGEST_SCHEMA.split(", "))})
 
     spread = files.select("bucket", "key").repartition(tasks or files.sparkSession.sparkContext.defaultParallelism)
     return spread.mapInPandas(run, DIGEST_SCHEMA)
@@ -158,11 +171,7 @@ def written(uploads: DataFrame, root: str) -> DataFrame:
             for bucket, key, content in zip(batch["bucket"], batch["key"], batch["content"]):
                 error = None
                 try:
-                    if not valid_key(key):
-                        raise ValueError("invalid key")
-                    path = os.path.join(root, key)
-                    if os.path.realpath(os.path.dirname(path)) != os.path.normpath(os.path.join(os.path.realpath(root), os.path.dirname(key))):
-                        raise ValueError("a link on the way")
+                    path = place_of(key, root)
                     os.makedirs(os.path.dirname(path), exist_ok=True)
                     spare = f"{path}.{uuid.uuid4().hex}"
                     with open(spare, "wb") as f:
@@ -179,7 +188,8 @@ def written(uploads: DataFrame, root: str) -> DataFrame:
 def removed(plan: DataFrame, root: str) -> DataFrame:
     """Delete the files of plan(bucket, key) under root; (bucket, key, removed, error). A file that is gone already counts as removed.
 
-    Nothing happens before the result is asked for.
+    A key that may not name a file, or that leads through a link, is refused. Nothing happens before the
+    result is asked for.
     """
 
     def run(batches):
@@ -190,9 +200,7 @@ def removed(plan: DataFrame, root: str) -> DataFrame:
             for bucket, key in zip(batch["bucket"], batch["key"]):
                 error = None
                 try:
-                    if not valid_key(key):
-                        raise ValueError("invalid key")
-                    os.remove(os.path.join(root, key))
+                    os.remove(place_of(key, root))
                 except FileNotFoundError:
                     pass
                 except (OSError, ValueError) as e:
@@ -210,6 +218,33 @@ def contents(spark, root: str, pattern: str = "*") -> DataFrame:
     return rows.select(F.regexp_replace(F.col("path"), f"^(file:)?/*{base.lstrip('/')}/", "").alias("key"), F.col("length").alias("size"), "content")
 
 
+def fetched(rows: DataFrame, root: str) -> DataFrame:
+    """Catalogue rows with content: that of the file, or the text of a link's target; null if it is gone, can't be read or may not be named.
+
+    Content is read where the rows are, so only files of rows that are asked for are opened.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            found = []
+            for key in batch["key"]:
+                try:
+                    path = place_of(key, root)
+                    if os.path.islink(path):
+                        found.append(os.readlink(path).encode())
+                    else:
+                        with open(path, "rb") as source:
+                            found.append(source.read())
+                except (OSError, ValueError):
+                    found.append(None)
+            yield pd.DataFrame({"bucket": batch["bucket"], "key": batch["key"], "content": pd.Series(found, dtype="object")})
+
+    read = rows.select("bucket", "key").distinct().mapInPandas(run, "bucket string, key string, content binary")
+    return rows.join(read, ["bucket", "key"])
+
+
 def slice_of(content, header, size):
     """The bytes of binary content that a range header asks for; all of it if the header is none."""
     from shelfmark.functions.scalars import byte_range

@@ -6,6 +6,7 @@ does the same work: tables are versioned by batch, and log rows carry keys that
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Sequence
 from datetime import datetime
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.functions.scalars import key_name, key_prefix
+from shelfmark.operators.catalogue import new_id
 from shelfmark.operators.matching import deliveries
 from shelfmark.operators.multipart import abandoned, current_parts, without
 from shelfmark.operators.stats import byte_budget
@@ -48,7 +50,7 @@ def applied(catalogue: DataFrame, batch: DataFrame, now_ns: int) -> DataFrame:
         "scan_level": F.when(fresh, F.lit(1)).otherwise(F.col("scan_level")).cast("int"),
         "last_modified_ns": F.when(fresh, F.lit(now_ns)).otherwise(F.col("last_modified_ns")),
         "created_at_ns": F.when(new, F.lit(now_ns)).otherwise(F.col("created_at_ns")),
-        "id": F.when(new, F.sha2(F.concat_ws("/", "bucket", "key"), 256)).otherwise(F.col("id")),
+        "id": F.when(new, new_id(F.col("bucket"), F.col("key"), F.lit(now_ns))).otherwise(F.col("id")),
         "prefix": F.coalesce("prefix", key_prefix(F.col("key"))),
         "name": F.coalesce("name", key_name(F.col("key"))),
     }
@@ -70,13 +72,35 @@ def follow(changes: DataFrame, table: Versions, checkpoint: str, interval: Optio
 #: Waits between the attempts of a delivery, in seconds.
 RETRY_AFTER = (1.0, 5.0)
 
+#: How long an attempt may take, in seconds.
+SEND_LIMIT = 30.0
+
 LOG = "id string, webhook_id string, event_type string, object_key string, delivered_at timestamp, attempts int, last_error string, status string"
 
 
-def deliver(events: DataFrame, webhooks: DataFrame, send: Callable[[str, dict], None], log: str, checkpoint: str, waits: Sequence[float] = RETRY_AFTER) -> StreamingQuery:
+def timed(send: Callable[[str, dict], None], url: str, event: dict, limit: float) -> None:
+    """send(url, event), given up with a TimeoutError once it has taken longer than limit seconds."""
+    failed: list[BaseException] = []
+
+    def run() -> None:
+        try:
+            send(url, event)
+        except BaseException as e:
+            failed.append(e)
+
+    worker = threading.Thread(target=run, daemon=True)
+    worker.start()
+    worker.join(limit)
+    if worker.is_alive():
+        raise TimeoutError(f"no answer within {limit:g} s")
+    if failed:
+        raise failed[0]
+
+
+def deliver(events: DataFrame, webhooks: DataFrame, send: Callable[[str, dict], None], log: str, checkpoint: str, waits: Sequence[float] = RETRY_AFTER, limit: float = SEND_LIMIT) -> StreamingQuery:
     """Send each event to the webhooks that match it, and log every attempt under log.
 
-    send(url, event) raises if it fails; it runs in tasks. An attempt's log id names webhook, event and
+    send(url, event) raises if it fails; it runs in tasks, and an attempt fails after limit seconds. An attempt's log id names webhook, event and
     attempt, so rows of a repeated batch are known by it. A batch's rows replace those of its last run.
     """
 
@@ -88,7 +112,7 @@ def deliver(events: DataFrame, webhooks: DataFrame, send: Callable[[str, dict],
             for job in batch.to_dict("records"):
                 for n, wait in enumerate((*waits, None), 1):
                     try:
-                        send(job["url"], job)
+                        timed(send, job["url"], job, limit)
                         error = None
                     except Exception as e:
                         error = str(e)

@@ -271,3 +271,53 @@ def test_buckets_compare_by_key_where_names_repeat(spark, tmp_path):
     spark.createDataFrame(made, "id string, bucket string, key string, name string, checksum_sha256 string").write.parquet(str(tmp_path / "objects.parquet"))
     found = QUERIES["compare_buckets_by_key"](spark, str(tmp_path)).collect()
     assert sorted((r.key, r.status) for r in found) == [("a/index.html", "identical"), ("b/index.html", "modified"), ("c/index.html", "only_in_right")]
+
+
+def test_pages_say_whether_there_are_more(spark):
+    df = spark.createDataFrame([("b", f"{d}/", n, f"{d}/{n}", 1) for d in "ab" for n in "xyz"], "bucket string, prefix string, name string, key string, size long")
+    seen, token = [], None
+    while True:
+        page = L.page_more(df, 4, "", token).orderBy("prefix", "name").collect()
+        seen += [r.key for r in page]
+        token = page[-1].next_token
+        assert all(r.has_more is (token is not None) for r in page)
+        if token is None:
+            break
+    assert seen == ["a/x", "a/y", "a/z", "b/x", "b/y", "b/z"]
+    assert L.page_more(df, 6).first().has_more is False and L.page_more(df, 5, "", "no token").count() == 5 and L.page_more(df.limit(0), 5).count() == 0
+    first = L.entries_page(df, 1, "", "/").collect()
+    assert [(r.entry, r.has_more) for r in first] == [("a/", True)] and [r.entry for r in L.entries_page(df, 1, "", "/", first[0].next_token).collect()] == ["b/"]
+
+
+def test_group_and_directory_tokens(spark):
+    df = spark.createDataFrame([("b", h, 1) for h in ("h1", "h1", "h2", "h2", "h3", "h3")], "bucket string, checksum_sha256 string, size long")
+    page = U.groups_page_more(U.cross_bucket_groups(df), 2).orderBy("checksum_sha256").collect()
+    assert [r.checksum_sha256 for r in page] == ["h1", "h2"] and page[0].has_more
+    assert [r.checksum_sha256 for r in U.groups_page_more(U.cross_bucket_groups(df), 2, page[0].next_token).collect()] == ["h3"]
+    assert U.decode_directory_token(U.encode_directory_token("ab")) == "ab" and U.decode_directory_token("?") is None and U.decode_directory_token(None) is None
+    dirs = spark.createDataFrame([(h * 40,) for h in "abc"], "dir_hash string")
+    token = U.directories_page_more(dirs, 1).first().next_token
+    assert [r.dir_hash[0] for r in U.directories_page_more(dirs, 5, token).orderBy("dir_hash").collect()] == ["b", "c"]
+
+
+def test_cross_bucket_report_and_partial_answers(spark):
+    df = spark.createDataFrame([(b, f"k{n}", h, 1, 3 if h else 1) for n, (b, h) in enumerate([("a", "h1"), ("b", "h1"), ("a", "h2"), ("a", "h2"), ("c", None), ("b", "h3")])], "bucket string, key string, checksum_sha256 string, size long, scan_level int")
+    assert sorted((r.checksum_sha256, r.bucket, r.truncated) for r in U.cross_bucket_report(df, 1).collect()) == [("h1", "a", True), ("h1", "b", True)]
+    assert {r.truncated for r in U.cross_bucket_report(df, 2).collect()} == {False}
+    with pytest.raises(T.ScanPending):
+        U.groups_so_far(df)
+    assert [(r.bucket, r.checksum_sha256, r.scan_complete, r.pending) for r in U.groups_so_far(df, allow_partial=True).collect()] == [("a", "h2", True, 0)]
+    assert U.groups_so_far(df.filter("bucket <> 'c'")).count() == 1
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([("b", "i1", "a/", "x", "a/x", 7, 1), ("b", "i2", "a/", "y", "a/y", 7, 1), ("c", "i3", "", "x", "x", None, None)], "bucket string, id string, prefix string, name string, key string, inode long, device_id long")
+    assert L.get(df, "b", "a/y").first().id == "i2" and L.get(df, "c", "x").first().id == "i3" and L.get(df, "c", "a/x").count() == 0
+    assert L.get_by_id(df, "i1").first().key == "a/x" and L.get_by_identity(df, "b", 7, 1).first().id == "i1" and L.get_by_identity(df, "c", 7, 1).count() == 0
+
+
+def test_event_names_match_however_they_are_spelled(spark):
+    hooks = spark.createDataFrame([("b", "w", "u", ["s3:ObjectCreated:*", " objectremoved:delete "], None), ("b", "all", "u", ["s3:*"], None), ("b", "none", "u", ["*"], None)], "bucket string, id string, url string, events array<string>, filter struct<prefix:string,suffix:string>")
+    events = spark.createDataFrame([(n, "b", name, "k") for n, name in enumerate(["s3:ObjectCreated:Put", "ObjectCreated:Put", " S3:OBJECTREMOVED:DELETE", "s3:ObjectCreatedLater:x", "s3:ObjectRemoved:DeleteMarker"])], "event_id int, bucket string, event_name string, object_key string")
+    got = sorted((r.webhook_id, r.event_id) for r in M.deliveries(events, hooks).collect())
+    assert got == [("all", n) for n in range(5)] + [("w", n) for n in range(3)]

@@ -136,3 +136,17 @@ def test_all_levels_report(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     report = scan.refresh(table, dirs, str(root), "b")
     assert report == {"new": 0, "unchanged": 3, "modified": 0, "moved": 0, "deleted": 2, "updated": 1, "errors": 0, "skipped": 0, "hashed": 1, "bytes": 3}
+
+
+def test_what_comes_to_a_place_later_is_another_object(spark, tmp_path):
+    root = tmp_path / "root"
+    write(root, x="first")
+    table = Versions(spark, str(tmp_path / "t"))
+    scan.find(table, str(root), "b", now_ns=1)
+    first = rows(table)["x"].id
+    os.rename(root / "x", root / "z")
+    scan.find(table, str(root), "b", now_ns=2)
+    write(root, x="second")
+    scan.find(table, str(root), "b", now_ns=3)
+    found = rows(table)
+    assert found["z"].id == first and found["x"].id != first

@@ -190,3 +190,33 @@ def test_batches_go_on_past_1000_and_past_files_that_stay_below(spark, monkeypat
     monkeypatch.setattr(jobs, "materialise", lambda df: df)
     monkeypatch.setattr(jobs.F, "broadcast", lambda df: df)
     assert jobs.pending_batches(lambda: Batch(1), 2, steps.append, 10) == 1002 == len(steps)
+
+
+def test_links_on_the_way_are_refused(spark, tmp_path):
+    root, outside = tmp_path / "root", tmp_path / "outside"
+    tree(root, a="1")
+    tree(outside, f="kept")
+    os.symlink(outside, root / "ln")
+    keys = spark.createDataFrame([("b", "ln/f"), ("b", "a"), ("b", "../outside/f"), ("b", "gone/x")], "bucket string, key string")
+    assert {r.key: r.removed for r in S.removed(keys, str(root)).collect()} == {"ln/f": False, "a": True, "../outside/f": False, "gone/x": True}
+    assert (outside / "f").read_text() == "kept"
+    assert [(r.key, r.readable) for r in S.hashed(keys.filter("key = 'ln/f'"), str(root)).collect()] == [("ln/f", False)]
+
+
+def test_content_of_files_and_links(spark, tmp_path):
+    root = tmp_path / "root"
+    tree(root, a="text")
+    os.symlink("a", root / "ln")
+    keys = spark.createDataFrame([("b", "a", 1), ("b", "ln", 2), ("b", "gone", 3), ("b", "../x", 4)], "bucket string, key string, size int")
+    got = {r.key: r.content and bytes(r.content) for r in S.fetched(keys, str(root)).collect()}
+    assert got == {"a": b"text", "ln": b"a", "gone": None, "../x": None}
+
+
+def test_an_attempt_that_hangs_fails_in_time():
+    import time
+
+    with pytest.raises(TimeoutError):
+        jobs.timed(lambda url, job: time.sleep(5), "u", {}, 0.05)
+    with pytest.raises(KeyError):
+        jobs.timed(lambda url, job: {}["x"], "u", {}, 5)
+    jobs.timed(lambda url, job: None, "u", {}, 5)
