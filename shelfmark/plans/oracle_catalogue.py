@@ -230,6 +230,19 @@ select event_id, case when held is not distinct from etag and etag is not null t
 """
 
 SQL["digests"] = "select doc_id, '\"' || md5(text) || '\"' as etag, base64(unhex(sha256(text))) as sha256, base64(unhex(sha1(text))) as sha1, octet_length(encode(text))::int as size from documents"
+
+
+def _table(polynomial: int) -> str:
+    """What each byte does to a register, by eight steps of a bit."""
+    return f"(select list(v order by i) from (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, {polynomial}) else c // 2 end) as v from range(256) r(i)))"
+
+
+_CRC = "base64(unhex(printf('%08x', xor(list_reduce(list_prepend(4294967295::bigint, l), lambda s, x: xor(s // 256, {t}[(xor(s, x) & 255) + 1])), 4294967295))))"
+SQL["crc_digests"] = f"""
+with tables as materialized (select {_table(0xEDB88320)} as a, {_table(0x82F63B78)} as b), texts as materialized (select doc_id, hex(encode(text)) as h from documents),
+bytes as materialized (select doc_id, list_transform(range(0, length(h) // 2), lambda n: ('0x' || h[2 * n + 1:2 * n + 2])::bigint) as l from texts)
+select doc_id, {_CRC.format(t='a')} as crc32, {_CRC.format(t='b')} as crc32c from bytes, tables
+"""
 # Kinds of the files that the tables' listings name, as the register of media types has them.
 _KINDS = """('jpg', 'image/jpeg'), ('png', 'image/png'), ('tif', 'image/tiff'), ('pdf', 'application/pdf'), ('json', 'application/json'), ('csv', 'text/csv'), ('txt', 'text/plain'),
   ('md', 'text/markdown'), ('mp4', 'video/mp4'), ('wav', 'audio/x-wav'), ('bin', 'application/octet-stream')"""
