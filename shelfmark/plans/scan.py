@@ -8,9 +8,10 @@ from typing import Optional
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scalars import with_content_type
+from shelfmark.functions.scalars import key_prefix, with_content_type
 from shelfmark.operators.catalogue import classify, enriched, in_scope, next_catalogue, scan_report
 from shelfmark.operators.duplicates import directory_hashes
+from shelfmark.operators.skew import semi_join
 from shelfmark.operators.stats import byte_budget
 from shelfmark.session import materialise
 from shelfmark.sources.files import FileTree, hashed
@@ -29,10 +30,10 @@ def tree(spark: SparkSession, root: str, bucket: str, depth: int = 1) -> DataFra
 
 
 def find(table: Versions, root: str, bucket: str, subtree: Optional[str] = None, now_ns: Optional[int] = None, depth: int = 1) -> dict[str, int]:
-    """Level 1: compare the tree with the catalogue and commit the next version; counts by class.
+    """Level 1: compare the tree with the catalogue and write what changed as the next version; counts by class.
 
     Rows created since the scan began stay, whether or not their file was listed. A subtree limits what is
-    compared; what lies outside stays as it is.
+    compared; what lies outside stays as it is, and so do unchanged rows.
     """
     spark, now_ns = table.spark, now_ns or time.time_ns()
     if table.current() is None:
@@ -40,11 +41,11 @@ def find(table: Versions, root: str, bucket: str, subtree: Optional[str] = None,
     held, disk = table.read(), tree(spark, root, bucket, depth)
     inside = (F.col("bucket") == bucket) & in_scope(F.col("key"), subtree)
     classes = materialise(classify(held, disk, F.lit(now_ns), inside))
-    young = held.filter(inside & (F.col("created_at_ns") >= now_ns)).join(classes.select("bucket", "key"), ["bucket", "key"], "left_anti")
-    after = next_catalogue(held.filter(inside), disk, classes, now_ns)
+    after = next_catalogue(held.filter(inside), disk, classes.filter("class <> 'unchanged'"), now_ns)
     kinds = with_content_type(after.filter("content_type is null").drop("content_type"), "name")
     after = after.filter("content_type is not null").unionByName(kinds.select(*after.columns))
-    table.commit(held.filter(~inside).unionByName(after).unionByName(young))
+    gone = classes.filter("class = 'deleted' or old_key is not null").select("bucket", F.coalesce("old_key", "key").alias("key"))
+    table.amend(after, gone)
     report = scan_report(classes).drop("bucket").collect()
     return report[0].asDict() if report else dict.fromkeys(("new", "unchanged", "modified", "moved", "deleted"), 0)
 
@@ -68,12 +69,23 @@ def stat(table: Versions, root: str, bucket: str, depth: int = 1, report: Option
     waiting, missing, links = seen.agg(F.count("_link"), F.count_if(F.col("_link").isNull()), F.count_if("_link")).first()
     count_in(report, updated=waiting, errors=missing, skipped=links)
     if waiting:
-        after = enriched(held, facts, 2)
-        links = F.col("is_symlink") & (F.col("scan_level") == 2) & (F.col("bucket") == bucket)
-        table.commit(after.withColumn("scan_level", F.when(links, 3).otherwise(F.col("scan_level")).cast("int")))
+        after = enriched(held.filter((F.col("bucket") == bucket) & (F.col("scan_level") < 2)), facts, 2).filter(F.col("scan_level") == 2)
+        table.amend(after.withColumn("scan_level", F.when(F.col("is_symlink"), 3).otherwise(F.col("scan_level")).cast("int")))
     return waiting
 
 
+def _digested(table: Versions, rows: DataFrame, root: str, report: Optional[dict[str, int]]) -> None:
+    """Hash the files of these rows of the catalogue and write what became of them."""
+    found = materialise(hashed(rows.select("bucket", "key"), root))
+    times = rows.select("bucket", "key", F.col("file_mtime_ns").alias("_t"))
+    whole = found.join(times, ["bucket", "key"]).filter(F.col("checksum_sha256").isNotNull() & F.col("mtime_ns").eqNullSafe(F.col("_t")))
+    digests = materialise(whole.select("bucket", "key", "etag", "checksum_sha256", "checksum_sha1", "checksum_crc32", "checksum_crc32c", "size"))
+    done, size = digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    after = enriched(rows, digests, 3)
+    table.amend(after.withColumn("scan_level", F.when(F.col("scan_level") < 3, 1).otherwise(F.col("scan_level")).cast("int")))
+    count_in(report, hashed=done, bytes=size, skipped=rows.count() - done)
+
+
 def digest(table: Versions, root: str, bucket: str, budget: int = 50 << 30, most: int = 10_000, report: Optional[dict[str, int]] = None) -> int:
     """Level 3: digests of the next files, up to a budget of bytes; how many files were dealt with, 0 when there is nothing left to do.
 
@@ -81,24 +93,48 @@ def digest(table: Versions, root: str, bucket: str, budget: int = 50 << 30, most
     and so do those that can't be read, are gone, or became links: no file of a batch comes back in the next.
     Counted in report: files hashed, their bytes, and those skipped, which got nothing.
     """
-    held = table.read()
-    batch = materialise(byte_budget(held.filter((F.col("bucket") == bucket) & (F.col("scan_level") == 2)), 3, budget, most).select("bucket", "key"))
+    held = table.read().filter((F.col("bucket") == bucket) & (F.col("scan_level") == 2))
+    batch = materialise(byte_budget(held, 3, budget, most).select("bucket", "key"))
     count = batch.count()
-    if not count:
-        return 0
-    found = materialise(hashed(batch, root))
-    times = held.select("bucket", "key", F.col("file_mtime_ns").alias("_t"))
-    whole = found.join(times, ["bucket", "key"]).filter(F.col("checksum_sha256").isNotNull() & F.col("mtime_ns").eqNullSafe(F.col("_t")))
-    digests = materialise(whole.select("bucket", "key", "etag", "checksum_sha256", "checksum_sha1", "checksum_crc32", "checksum_crc32c", "size"))
-    done, size = digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    after = enriched(held, digests, 3)
-    odd = batch.join(digests, ["bucket", "key"], "left_anti").select("bucket", "key", F.lit(True).alias("_odd"))
-    after = after.join(odd, ["bucket", "key"], "left").withColumn("scan_level", F.when(F.col("_odd"), 1).otherwise(F.col("scan_level")).cast("int"))
-    table.commit(after.select(*held.columns))
-    count_in(report, hashed=done, bytes=size, skipped=count - done)
+    if count:
+        _digested(table, materialise(semi_join(held, batch, ["bucket", "key"])), root, report)
     return count
 
 
+def digest_all(table: Versions, root: str, bucket: str, budget: int = 50 << 30, most: int = 1_000_000, report: Optional[dict[str, int]] = None) -> int:
+    """Level 3 of all files that wait for it, in batches of about a budget of bytes and so many files; how many batches.
+
+    The rows that wait are read and split into batches once. A batch reads its own rows and writes them
+    with their digests, so that what a run has done stays done, and the whole costs what waits.
+    """
+    held = table.read().filter((F.col("bucket") == bucket) & (F.col("scan_level") == 2))
+    files, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if not files:
+        return 0
+    batches = max(1, -(-files // most), -(-size // budget))
+    planned = materialise(held.withColumn("_batch", F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int")), "_batch")
+    for n in range(batches):
+        _digested(table, planned.filter(F.col("_batch") == n).select(*held.columns), root, report)
+    return batches
+
+
+def rehash_directories(table: Versions, directories: Versions) -> None:
+    """Hash the directories in which rows changed since they were hashed last, or all where that is not known; those left without files go.
+
+    The version of the table that directories stand for is noted with them.
+    """
+    since, now = directories.note(), table.current()
+    directories.keys = ("bucket", "prefix")
+    hashes = lambda rows: directory_hashes(rows).withColumn("stale", F.col("dir_hash").isNull())
+    changed = None if since is None else table.changed_since(since)
+    if changed is None:
+        directories.commit(hashes(table.read()), note=now)
+        return
+    places = materialise(changed.select("bucket", key_prefix(F.col("key")).alias("prefix")).filter("prefix <> ''").distinct())
+    fresh = materialise(hashes(semi_join(table.read(), places, ["bucket", "prefix"])))
+    directories.amend(fresh, places.join(fresh, ["bucket", "prefix"], "left_anti"), note=now)
+
+
 def refresh(table: Versions, directories: Versions, root: str, bucket: str, level: int = 3, depth: int = 1) -> dict[str, int]:
     """Find, stat and hash, as far as the level asked for, then hash the directories; the counts of all steps made.
 
@@ -109,7 +145,6 @@ def refresh(table: Versions, directories: Versions, root: str, bucket: str, leve
         stat(table, root, bucket, depth, report)
     if level >= 3:
         count_in(report, hashed=0, bytes=0)
-        while digest(table, root, bucket, report=report):
-            pass
-        directories.commit(directory_hashes(table.read()).withColumn("stale", F.col("dir_hash").isNull()))
+        digest_all(table, root, bucket, report=report)
+        rehash_directories(table, directories)
     return report

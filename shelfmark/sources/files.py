@@ -62,6 +62,15 @@ def walk(root: str, part: Subtree) -> Iterator[tuple]:
                     continue
 
 
+def subtrees(root: str, depth: int) -> list[Subtree]:
+    """The parts of a tree: folders so many levels below the root as a whole, and those above with their own files."""
+    parts, level = [], [root]
+    for n in range(depth):
+        parts += [Subtree(p, False) for p in level]
+        level = sorted(e.path for p in level for e in os.scandir(p) if e.is_dir(follow_symlinks=False) and not (n == 0 and e.name == STATE_FOLDER))
+    return parts + [Subtree(p, True) for p in level]
+
+
 class TreeReader(DataSourceReader):
     """Reads a tree by its top folders."""
 
@@ -71,11 +80,7 @@ class TreeReader(DataSourceReader):
         self.depth = int(options.get("depth") or 1)
 
     def partitions(self) -> list[InputPartition]:
-        parts, level = [], [self.root]
-        for n in range(self.depth):
-            parts += [Subtree(p, False) for p in level]
-            level = sorted(e.path for p in level for e in os.scandir(p) if e.is_dir(follow_symlinks=False) and not (n == 0 and e.name == STATE_FOLDER))
-        return parts + [Subtree(p, True) for p in level]
+        return list(subtrees(self.root, self.depth))
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         for row in walk(self.root, partition):

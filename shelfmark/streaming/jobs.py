@@ -20,6 +20,7 @@ from shelfmark.functions.scalars import key_name, key_prefix
 from shelfmark.operators.catalogue import new_id
 from shelfmark.operators.matching import deliveries
 from shelfmark.operators.multipart import abandoned, current_parts, without
+from shelfmark.operators.skew import semi_join
 from shelfmark.operators.stats import byte_budget
 from shelfmark.session import materialise
 from shelfmark.sources.store import Versions
@@ -59,11 +60,19 @@ def applied(catalogue: DataFrame, batch: DataFrame, now_ns: int) -> DataFrame:
 
 
 def follow(changes: DataFrame, table: Versions, checkpoint: str, interval: Optional[str] = None) -> StreamingQuery:
-    """Keep a versioned catalogue current with a stream of file changes: at an interval, or once with what there is."""
+    """Keep a versioned catalogue current with a stream of file changes: at an interval, or once with what there is.
+
+    A batch reads the rows of its files and writes those that change.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            table.commit(applied(table.read(), batch, time.time_ns()))
+            batch = materialise(batch)
+            names = materialise(batch.select("bucket", "key").distinct())
+            held = materialise(semi_join(table.read(), names, ["bucket", "key"]))
+            after = materialise(applied(held, batch, time.time_ns()))
+            same = held.select("bucket", "key", "scan_level", "size", "file_mtime_ns", "last_modified_ns")
+            table.amend(after.join(same, same.columns, "left_anti"), held.join(after, ["bucket", "key"], "left_anti"))
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -131,18 +140,22 @@ def deliver(events: DataFrame, webhooks: DataFrame, send: Callable[[str, dict],
 
 
 def follow_objects(events: DataFrame, table: Versions, checkpoint: str) -> StreamingQuery:
-    """Keep the objects that exist current with a stream of (bucket, object_key, object_id, event_time, event_id, removed).
+    """Keep the objects that exist current with a stream of (bucket, object_key, object_id, event_time, event_id, removed); a batch writes its own keys.
 
     Removed keys stay as rows, so a late event of an earlier time changes nothing; live() leaves them out.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         columns = ["bucket", "object_key", "event_time", "event_id", "object_id", "removed"]
-        rows = batch.select(*columns)
-        if table.current() is not None:
-            rows = rows.unionByName(table.read().select(*columns))
         last = F.max(F.struct("event_time", "event_id", "object_id", "removed")).alias("_e")
-        table.commit(rows.groupBy("bucket", "object_key").agg(last).select("bucket", "object_key", "_e.*"))
+        newest = lambda rows: rows.groupBy("bucket", "object_key").agg(last).select("bucket", "object_key", "_e.*")
+        rows = materialise(newest(batch.select(*columns)))
+        table.keys = ("bucket", "object_key")
+        if table.current() is None:
+            table.commit(rows)
+        else:
+            held = semi_join(table.read().select(*columns), rows, ["bucket", "object_key"])
+            table.amend(newest(rows.unionByName(held)))
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -150,3 +150,33 @@ def test_what_comes_to_a_place_later_is_another_object(spark, tmp_path):
     scan.find(table, str(root), "b", now_ns=3)
     found = rows(table)
     assert found["z"].id == first and found["x"].id != first
+
+
+def test_a_refresh_writes_and_hashes_what_changed(spark, tmp_path):
+    root = tmp_path / "root"
+    for n in range(40):
+        write(root, **{f"d{n:02d}__f": f"text {n}"})
+    table, dirs = Versions(spark, str(tmp_path / "t")), Versions(spark, str(tmp_path / "d"))
+    scan.refresh(table, dirs, str(root), "b")
+    base = dirs.note()
+    write(root, d03__g="more")
+    os.remove(root / "d04" / "f")
+    scan.refresh(table, dirs, str(root), "b")
+    assert dirs.note() > base and sorted(r.key for r in table.changed_since(base).collect()) == ["d03/g", "d04/f"]
+    assert sorted(r.prefix for r in dirs.changed_since(1).collect()) == ["d03/", "d04/"]
+    found = {r.prefix: r.file_count for r in dirs.read().collect()}
+    assert found == {f"d{n:02d}/": 2 if n == 3 else 1 for n in range(40) if n != 4}
+
+
+def test_all_that_waits_is_hashed_in_batches(spark, tmp_path):
+    root = tmp_path / "root"
+    for n in range(12):
+        write(root, **{f"f{n}": "x" * n})
+    table = Versions(spark, str(tmp_path / "t"))
+    scan.find(table, str(root), "b")
+    scan.stat(table, str(root), "b")
+    os.remove(root / "f3")
+    report = {}
+    assert scan.digest_all(table, str(root), "b", most=5, report=report) == 3 and scan.digest_all(table, str(root), "b") == 0
+    assert report["hashed"] == 11 and report["skipped"] == 1 and report["bytes"] == sum(n for n in range(12) if n != 3)
+    assert {k: r.scan_level for k, r in rows(table).items()} == {f"f{n}": 1 if n == 3 else 3 for n in range(12)}

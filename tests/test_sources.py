@@ -98,11 +98,45 @@ def test_change_stream_keeps_a_catalogue_current(spark, tmp_path):
     assert step() == {"a": (3, 1), "c": (1, 1)}
 
 
-def test_change_stream_has_a_limit(tmp_path):
-    tree(tmp_path / "r", a="1", b="2")
-    reader = ChangesReader({"path": str(tmp_path / "r"), "state": str(tmp_path / "s"), "max_files": "1"})
-    with pytest.raises(ValueError):
-        reader.read({"listing": 0})
+def test_changes_of_parts_and_of_what_is_being_written(tmp_path):
+    import threading
+    import time
+
+    root = tmp_path / "root"
+    tree(root, top="1", a__x="1", a__b__y="2", c__z="3")
+    reader = ChangesReader({"path": str(root), "bucket": "b", "state": str(tmp_path / "state"), "debounce_ms": "50"})
+
+    def changes(start):
+        end = reader.latestOffset()
+        parts = reader.partitions(start, end)
+        rows = [r for p in parts for r in reader.read(p)]
+        assert rows == [r for p in reader.partitions(start, end) for r in reader.read(p)]  # a batch that is run again
+        return sorted(r[1:3] for r in rows), end
+
+    first, at = changes(reader.initialOffset())
+    assert first == [("a/b/y", "changed"), ("a/x", "changed"), ("c/z", "changed"), ("top", "changed")]
+    assert len(reader.partitions({"listing": 0}, at)) == 3
+    os.remove(root / "c" / "z")
+    os.rmdir(root / "c")
+    tree(root, a__x="longer", d__new="4")
+    second, at = changes(at)
+    assert second == [("a/x", "changed"), ("c/z", "deleted"), ("d/new", "changed")]
+    assert changes(at)[0] == []
+    reader.commit(at)
+    assert all(int(n.split(".")[0]) >= at["listing"] for n in os.listdir(tmp_path / "state"))
+
+    def write():
+        for n in range(8):
+            (root / "top").write_text("x" * (n + 2))
+            time.sleep(0.02)
+
+    (root / "top").write_text("x")
+    worker = threading.Thread(target=write)
+    worker.start()
+    end = reader.latestOffset()
+    sizes = [r[3] for p in reader.partitions(at, end) for r in reader.read(p) if r[1] == "top"]
+    worker.join()
+    assert sizes == [9]
 
 
 def test_false_alarms_leave_rows_alone(spark):
@@ -220,3 +254,42 @@ def test_an_attempt_that_hangs_fails_in_time():
     with pytest.raises(KeyError):
         jobs.timed(lambda url, job: {}["x"], "u", {}, 5)
     jobs.timed(lambda url, job: None, "u", {}, 5)
+
+
+def size_of(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_changes_cost_what_they_change(spark, tmp_path):
+    v = Versions(spark, str(tmp_path / "t"), keep=2)
+    line = "bucket string, key string, n int"
+    many = spark.range(20_000).select(F.lit("b").alias("bucket"), F.sha2(F.col("id").cast("string"), 256).alias("key"), F.lit(0).alias("n"))
+    v.commit(many)
+    whole, want = size_of(v.path), {r.key: r.n for r in many.collect()}
+    keys = sorted(want)
+    for step in range(1, 21):
+        gone, put = keys[step], keys[100 + step % 3]
+        before = set(os.listdir(v.path))
+        v.amend(spark.createDataFrame([("b", put, step), ("b", f"new{step}", step)], line), spark.createDataFrame([("b", gone)], "bucket string, key string"))
+        assert sum(size_of(os.path.join(v.path, n)) for n in set(os.listdir(v.path)) - before) < whole / 20
+        want |= {put: step, f"new{step}": step}
+        want.pop(gone)
+    assert {r.key: r.n for r in v.read().collect()} == want and v.read().count() == len(want)
+    assert len([n for n in os.listdir(v.path) if n.startswith("d=")]) < 20 and len(v.versions()) == 2
+    now = v.current()
+    assert v.amend(many.limit(0)) == now == v.current()
+    assert v.changed_since(now).count() == 0
+    v.amend(spark.createDataFrame([("b", "x", 1)], line))
+    assert [r.key for r in v.changed_since(now).collect()] == ["x"]
+    v.amend(many.withColumn("n", F.lit(-7)))  # more than a fourth: all goes into a new base
+    assert v.changed_since(now) is None and v.read().filter("n = -7").count() == 20_000 and not [n for n in os.listdir(v.path) if n.startswith("d=") and int(n[2:]) > now + 2]
+
+
+def test_a_version_that_was_left_unfinished_is_overwritten(spark, tmp_path):
+    v = Versions(spark, str(tmp_path / "t"))
+    v.commit(spark.createDataFrame([("b", f"k{n}", 1) for n in range(50)], "bucket string, key string, n int"))
+    os.makedirs(os.path.join(v.path, "d=2"))
+    open(os.path.join(v.path, "d=2", "part-junk.parquet"), "w").write("junk")
+    assert v.read().count() == 50
+    v.amend(spark.createDataFrame([("b", "k1", 2)], "bucket string, key string, n int"))
+    assert v.read().filter("n = 2").count() == 1 and v.read(1).filter("n = 2").count() == 0
