@@ -115,6 +115,16 @@ def members(df: DataFrame, found: DataFrame, within: Sequence[str] = ("bucket",)
     return fragment_join(df, found.select(*within, "checksum_sha256"), [*within, "checksum_sha256"], "left_semi")
 
 
+def members_of(df: DataFrame, digest: str) -> DataFrame:
+    """Files of one content in the order of bucket and listing."""
+    return df.filter(F.col("checksum_sha256") == digest).orderBy("bucket", "prefix", "name")
+
+
+def directories_of(directories: DataFrame, dir_hash: str) -> DataFrame:
+    """Directories of one hash, stale ones too, in order."""
+    return directories.filter(F.col("dir_hash") == dir_hash).orderBy("bucket", "prefix")
+
+
 def directory_hashes(df: DataFrame) -> DataFrame:
     """(bucket, prefix, dir_hash, file_count, total_size) of each directory but the root.
 

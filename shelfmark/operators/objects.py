@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,8 +129,3 @@ WEBHOOKS = "array<struct<id:string,url:string,events:array<string>,filter:struct
 def parsed_config(df: DataFrame, value: str, schema: str) -> DataFrame:
     """df with a JSON column parsed; a text that is not JSON of that form is an error."""
     return df.withColumn(value, F.from_json(value, schema, {"mode": "FAILFAST"}))
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    """All rows of tables of several buckets; columns some lack are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

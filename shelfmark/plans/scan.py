@@ -16,6 +16,7 @@ from shelfmark.operators.stats import byte_budget
 from shelfmark.session import materialise
 from shelfmark.sources.files import FileTree, hashed
 from shelfmark.sources.store import Versions
+from shelfmark.streaming.background import Background
 
 SCHEMA = (
     "bucket string, id string, prefix string, name string, key string, is_symlink boolean, symlink_target string, size long, file_mtime_ns long, file_ctime_ns long, inode long, device_id long, "
@@ -148,3 +149,8 @@ def refresh(table: Versions, directories: Versions, root: str, bucket: str, leve
         digest_all(table, root, bucket, report=report)
         rehash_directories(table, directories)
     return report
+
+
+def sync(jobs: Background, table: Versions, directories: Versions, root: str, bucket: str, depth: int = 1) -> str:
+    """Find and stat in the background, without hashing: the id of the job, at once. Its result will be the report."""
+    return jobs.start(lambda: refresh(table, directories, root, bucket, 2, depth), "sync")

@@ -21,6 +21,7 @@ class Job:
     result: Any = None
     error: Optional[str] = None
     thread: Optional[threading.Thread] = field(default=None, repr=False)
+    stop: Callable[[], None] = field(default=lambda: None, repr=False)
 
 
 class Background:
@@ -33,7 +34,10 @@ class Background:
         """Start work and return the job's id at once; pool names a scheduler pool."""
         job = Job(uuid.uuid4().hex)
         self.jobs[job.id] = job
+        self._run(job, work, pool)
+        return job.id
 
+    def _run(self, job: Job, work: Callable[[], Any], pool: Optional[str]) -> None:
         def run() -> None:
             context = self.spark.sparkContext
             context.setJobGroup(job.id, f"background {job.id}", interruptOnCancel=True)
@@ -50,7 +54,25 @@ class Background:
 
         job.thread = InheritableThread(target=run, daemon=True)
         job.thread.start()
-        return job.id
+
+    def every(self, work: Callable[[], Any], seconds: float, pool: Optional[str] = None) -> str:
+        """Do work now and again each time so many seconds after it ended, until the job is cancelled; its result is the last one's.
+
+        An error ends the job. For cleaning, checks and comparisons of a whole tree that are to be made regularly.
+        """
+        ended = threading.Event()
+
+        def repeated() -> Any:
+            while True:
+                self.jobs[id].result = work()
+                if ended.wait(seconds):
+                    return self.jobs[id].result
+
+        job = Job(uuid.uuid4().hex)
+        id, self.jobs[job.id] = job.id, job
+        job.stop = ended.set
+        self._run(job, repeated, pool)
+        return id
 
     def get(self, id: str) -> Optional[Job]:
         """The job of that id, or None."""
@@ -61,6 +83,7 @@ class Background:
         job = self.jobs[id]
         if job.status == "running":
             job.status = "cancelled"
+            job.stop()
             self.spark.sparkContext.cancelJobGroup(id)
 
     def wait(self, id: str, seconds: Optional[float] = None) -> Job:

@@ -321,3 +321,10 @@ def test_event_names_match_however_they_are_spelled(spark):
     events = spark.createDataFrame([(n, "b", name, "k") for n, name in enumerate(["s3:ObjectCreated:Put", "ObjectCreated:Put", " S3:OBJECTREMOVED:DELETE", "s3:ObjectCreatedLater:x", "s3:ObjectRemoved:DeleteMarker"])], "event_id int, bucket string, event_name string, object_key string")
     got = sorted((r.webhook_id, r.event_id) for r in M.deliveries(events, hooks).collect())
     assert got == [("all", n) for n in range(5)] + [("w", n) for n in range(3)]
+
+
+def test_members_of_one_content_come_in_order(spark):
+    df = spark.createDataFrame([("b", "z/", "a", "h"), ("b", "", "c", "h"), ("a", "x/", "q", "h"), ("a", "x/", "p", "h"), ("a", "", "n", None), ("a", "", "m", "g")], "bucket string, prefix string, name string, checksum_sha256 string")
+    assert [(r.bucket, r.prefix, r.name) for r in U.members_of(df, "h").collect()] == [("a", "x/", "p"), ("a", "x/", "q"), ("b", "", "c"), ("b", "z/", "a")]
+    dirs = spark.createDataFrame([("b", "z/", "h", True), ("b", "a/", "h", False), ("b", "q/", None, False)], "bucket string, prefix string, dir_hash string, stale boolean")
+    assert [r.prefix for r in U.directories_of(dirs, "h").collect()] == ["a/", "z/"]

@@ -8,6 +8,7 @@ from shelfmark.operators.integrity import rollup, verify
 from shelfmark.plans import scan
 from shelfmark.sources.files import hashed
 from shelfmark.sources.store import Versions
+from shelfmark.streaming.background import Background
 
 
 def write(root, **files):
@@ -180,3 +181,22 @@ def test_all_that_waits_is_hashed_in_batches(spark, tmp_path):
     assert scan.digest_all(table, str(root), "b", most=5, report=report) == 3 and scan.digest_all(table, str(root), "b") == 0
     assert report["hashed"] == 11 and report["skipped"] == 1 and report["bytes"] == sum(n for n in range(12) if n != 3)
     assert {k: r.scan_level for k, r in rows(table).items()} == {f"f{n}": 1 if n == 3 else 3 for n in range(12)}
+
+
+def test_sync_returns_at_once_and_does_not_hash(spark, tmp_path):
+    root = tmp_path / "root"
+    write(root, a="1", d__b="2")
+    jobs, table = Background(spark), Versions(spark, str(tmp_path / "t"))
+    done = jobs.wait(scan.sync(jobs, table, Versions(spark, str(tmp_path / "d")), str(root), "b"), 120)
+    assert (done.status, done.result["new"], done.result["updated"]) == ("complete", 2, 2)
+    assert {k: (r.scan_level, r.checksum_sha256) for k, r in rows(table).items()} == {"a": (2, None), "d/b": (2, None)}
+
+
+def test_work_that_is_done_regularly(spark):
+    jobs, times = Background(spark), []
+    id = jobs.every(lambda: times.append(spark.range(3).count()) or len(times), 0.05)
+    while len(times) < 3:
+        jobs.wait(id, 0.05)
+    jobs.cancel(id)
+    jobs.wait(id, 30)
+    assert jobs.get(id).status == "cancelled" and jobs.get(id).result >= 3 and set(times) == {3}
