@@ -23,7 +23,7 @@ from shelfmark.operators import multipart as P
 from shelfmark.operators import stats as T
 from shelfmark.operators import tags as G
 from shelfmark.plans.problems import object_changes, p1_found
-from shelfmark.session import materialise, small
+from shelfmark.session import is_written, materialise, small
 from shelfmark.sources.tables import table
 
 #: When changes made by queries are said to happen.
@@ -34,17 +34,33 @@ NOW_NS = 1_760_000_000_000_000_000
 PLACE = ("prefix", "name", "key")
 
 
-def catalogue(spark: SparkSession, folder: str, *columns: str, where: Optional[Column] = None) -> DataFrame:
-    """objects, each once: bucket, id and the columns asked for, or all; SHA-256 digests in one spelling.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, folder: str) -> DataFrame:
+    """objects, each once, with SHA-256 digests in one spelling: written once for all queries of a session, in ranges of bucket and listing order.
 
-    A redelivered row repeats the whole of the one before, so distinct rows are distinct objects, and
-    the narrower they are the less is shuffled. where filters the stored columns, in the scan.
+    A redelivered row repeats the whole of the one before. Since the files are sorted, filters of bucket,
+    prefix or key skip most of them, and no query shuffles rows to tell repeated ones apart. A table whose
+    files change is written anew.
     """
-    rows = table(spark, folder, "objects")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(f"{folder}/objects.parquet")
+    fs = place.getFileSystem(conf)
+    state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(place))
+    key = (spark.sparkContext.applicationId, folder, tuple(state))
+    if key not in _KEPT or not is_written(_KEPT[key]):
+        rows = table(spark, folder, "objects").dropDuplicates(["id"]).withColumn("checksum_sha256", digest_text(F.col("checksum_sha256")))
+        order = ["bucket", "prefix", "name"]
+        _KEPT[key] = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    return _KEPT[key]
+
+
+def catalogue(spark: SparkSession, folder: str, *columns: str, where: Optional[Column] = None) -> DataFrame:
+    """objects, each once: bucket, id and the columns asked for, or all. where filters the stored columns, in the scan."""
+    rows = kept(spark, folder)
     rows = rows if where is None else rows.filter(where)
-    wanted = dict.fromkeys(["bucket", "id", *columns])
-    once = rows.select(*wanted).distinct() if columns and "metadata" not in wanted else rows.dropDuplicates(["id"])
-    return once.withColumn("checksum_sha256", digest_text(F.col("checksum_sha256"))) if "checksum_sha256" in once.columns else once
+    return rows.select(*dict.fromkeys(["bucket", "id", *columns])) if columns else rows
 
 
 def directories(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,6 +67,11 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether the files of a table that materialise wrote are still there: release() has not been called since."""
+    return any(path.removeprefix("file:").rstrip("/") in file for file in df.inputFiles() for _, path in _written)
+
+
 def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """df, marked for broadcast if it was counted and found to have at most max_rows rows.
 
