@@ -1,8 +1,9 @@
 """Per-key results when a handful of keys holds most rows: fragment-replicate by load.
 
-The plan is made from estimated loads. One pass counts all rows and keeps a sketch of the most frequent
-keys in each task; sketches merge, so the driver gets one row with the keys that may hold a quarter of
-a task's fair share, at most four of them per task, however large the data. The load of a key is known
+The plan is made from estimated loads. One pass counts all rows and keeps sketches of the most frequent
+keys in each task, one for each of a fixed number of groups of keys; sketches of a group merge, so the
+driver gets, from each group, the keys that may hold a quarter of a task's fair share, however large
+the data. The load of a key is known
 to a hundredth of that share or so. All other keys hash into bins, a fixed number per task, which share
 the rest alike. The driver packs bins and shards of large keys onto tasks, largest first, each onto the
 least loaded task.
@@ -69,21 +70,23 @@ def pack(loads: list[int], heavy: list[tuple[int, int, int]], tasks: int) -> Loa
     return LoadPlan(tasks, place, [(key, sorted(set(t))) for (key, _, _), t in zip(heavy, shards)], [round(x) for x, _ in sorted(heap, key=lambda h: h[1])])
 
 
-#: The most keys a sketch follows.
-MOST_TRACKED = 1 << 19
+#: Groups of keys with a sketch each: sketches merge in so many places, and a task can hold so many at once.
+SKETCHES = 128
 
 
 def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> LoadPlan:
     """The plan for df's rows by keys, in one pass over them; keys that are null in any column are left out."""
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
-    tracked = 4096
-    while tracked < min(256 * tasks, MOST_TRACKED):
+    groups, tracked = min(tasks, SKETCHES), 512
+    while tracked * groups < 256 * tasks:
         tracked *= 2
     top = F.call_function("approx_top_k", F.col("h"), F.lit(min(4 * tasks, tracked)), F.lit(tracked))
-    rows, found = df.filter(some).select(_hash(keys).alias("h")).agg(F.count(F.lit(1)), top).first()
+    sketched = df.filter(some).select(_hash(keys).alias("h")).groupBy(F.pmod("h", F.lit(groups)).alias("g")).agg(F.count(F.lit(1)).alias("n"), top.alias("top"))
+    found = sketched.select("n", F.filter("top", lambda x: x["count"] * (4 * tasks) >= F.col("n")).alias("top")).collect()
+    rows = sum(r.n for r in found)
     least = max(2, rows / (4 * tasks))
-    heavy = [(r["item"], r["count"]) for r in found or () if r["count"] >= least]
+    heavy = [(x["item"], x["count"]) for r in found for x in r.top if x["count"] >= least]
     count = tasks * BINS_PER_TASK
     each = max(0, rows - sum(n for _, n in heavy)) // count
     loads, placed = [each] * count, []

@@ -82,3 +82,10 @@ def test_ranks(spark):
 def test_ranks_of_equal_rows_are_all_different(spark):
     df = spark.range(500).select(F.lit("g").alias("g"), F.lit(1).alias("o"))
     assert sorted(r["rank"] for r in with_group_rank(df, ["g"], ["o"]).collect()) == list(range(500))
+
+
+def test_more_tasks_than_sketches(spark):
+    plan = plan_loads(skewed(spark), ["k"], tasks=300)
+    hot = spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]
+    assert plan.heavy[0][0] == hot or hot in dict(plan.heavy)
+    assert len(dict(plan.heavy)[hot]) > 50 and max(plan.loads) < 3 * sum(plan.loads) / 300
