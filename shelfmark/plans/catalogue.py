@@ -51,7 +51,7 @@ def kept(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, tuple(state))
     if key not in _KEPT or not is_written(_KEPT[key]):
         rows = table(spark, folder, "objects").dropDuplicates(["id"]).withColumn("checksum_sha256", digest_text(F.col("checksum_sha256")))
-        order = ["bucket", "prefix", "name"]
+        order = [c for c in ("bucket", "prefix", "name") if c in rows.columns]
         _KEPT[key] = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     return _KEPT[key]
 
