@@ -204,7 +204,7 @@ def fingerprints(df: DataFrame, item: str, text: str, forms: WordForms, span: in
     side = span - k
     sent = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
 
-    def chunks(texts: list) -> Iterator[tuple[list[int], list[list], list[list[int]]]]:
+    def chunks(texts: list) -> Iterator[tuple[list[int], list[list], list[np.ndarray]]]:
         known = WordHashes(forms)
         rows, held, hashes, size = [], [], [], 0
         for row, t in enumerate(texts):
@@ -215,7 +215,7 @@ def fingerprints(df: DataFrame, item: str, text: str, forms: WordForms, span: in
                 known.clear()
             rows.append(row)
             held.append(words)
-            hashes.append(list(map(known.__getitem__, words)))
+            hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
             size += len(words)
             if size >= WORDS_AT_ONCE:
                 yield rows, held, hashes
@@ -235,7 +235,7 @@ def fingerprints(df: DataFrame, item: str, text: str, forms: WordForms, span: in
             for rows, held, hashed in chunks(batch.column(1).to_pylist()):
                 ends = np.cumsum([len(h) for h in hashed])
                 starts = np.concatenate([[0], ends[:-1]])
-                hashes = np.concatenate([np.array(h, np.uint64) for h in hashed])
+                hashes = np.concatenate(hashed)
                 text_of = np.repeat(np.arange(len(held)), ends - starts)
                 at, grams = winnow(hashes, k, span - k + 1, text_of)
                 if sent is not None:
