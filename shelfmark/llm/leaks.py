@@ -178,8 +178,8 @@ BITMAP, LEAST_BITS, MOST_BITS = 32768, 1 << 22, 1 << 28
 def marks(tested: DataFrame, most_bits: int = MOST_BITS) -> Marks:
     """Marks of the fingerprints in a written table: at least 16 bits to each, at most most_bits.
 
-    With more fingerprints than a quarter of that, more of the corpus's pass that nobody wants, and past
-    some 300 million all of them do; what passes meets the exact fingerprints in any case.
+    With more fingerprints than a sixteenth of that, more of the corpus passes that nobody wants; what
+    passes meets the exact fingerprints in any case.
     """
     count = tested.count()
     bits = min(LEAST_BITS, most_bits)
@@ -193,8 +193,8 @@ def marks(tested: DataFrame, most_bits: int = MOST_BITS) -> Marks:
     return Marks(bits, bytes(held))
 
 
-def fingerprints(df: DataFrame, item: str, text: str, forms: WordForms, span: int, k: int, wanted: Marks | None = None) -> DataFrame:
-    """(item, place, fingerprint, words): what winnowing keeps of each text, with the words around it.
+def fingerprints(df: DataFrame, item: str, text: str, forms: WordForms, span: int, k: int, wanted: Marks | None = None, alone: bool = False) -> DataFrame:
+    """(item, place, fingerprint, words): what winnowing keeps of each text, with the words around it; or, if asked for, fingerprints alone.
 
     words holds those of the k-gram, span - k to its left and as many to its right: all that is needed
     to see whether a shared run of span words covers it. Beyond the text's ends it holds nulls. Only
@@ -241,6 +241,9 @@ def fingerprints(df: DataFrame, item: str, text: str, forms: WordForms, span: in
                 if sent is not None:
                     hit = sent.value.may_hold(grams)
                     at, grams = at[hit], grams[hit]
+                if alone:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams).view(np.int64))], names=["fingerprint"])
+                    continue
                 for first in range(0, len(at), 20_000):
                     own = text_of[at[first : first + 20_000]]
                     place = at[first : first + 20_000] - starts[own]
@@ -249,7 +252,7 @@ def fingerprints(df: DataFrame, item: str, text: str, forms: WordForms, span: in
                     prints = pa.array(grams[first : first + 20_000].view(np.int64))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(place.astype(np.int32)), prints, pa.array(words, pa.list_(pa.string()))], names=["item", "place", "fingerprint", "words"])
 
-    return df.select(item, text).dropna().mapInArrow(run, f"item {kind}, place int, fingerprint long, words array<string>")
+    return df.select(item, text).dropna().mapInArrow(run, "fingerprint long" if alone else f"item {kind}, place int, fingerprint long, words array<string>")
 
 
 def shared_run(a: list[str | None], b: list[str | None], span: int, same: Callable[[str, str], bool]) -> bool:
@@ -275,7 +278,9 @@ def leaks(documents: DataFrame, document: str, text: str, items: DataFrame, item
 
     The items' fingerprints mark bits of a table of bounded size, which all tasks get, so documents are
     read once and filtered where they are read. What passes meets the items' fingerprints: sent to all
-    tasks up to `few` of them, else in a join that splits a fingerprint that most documents have.
+    tasks up to `few` of them, else in a join that splits a fingerprint that most documents have. If the
+    items have more fingerprints than the table can tell apart, a pass before finds those that the
+    documents have as well, by fingerprints alone, and only these mark bits.
 
     Null or empty texts, and texts of fewer than span words, hold nothing. Repeated rows and copies are
     found each by its id; ids that are null never are. Empty tables give no rows.
@@ -284,7 +289,11 @@ def leaks(documents: DataFrame, document: str, text: str, items: DataFrame, item
         raise ValueError("k must be from 1 to span")
     forms = WordForms(Looks.of(documents.sparkSession))
     tested = materialise(fingerprints(items.dropna(subset=[item]), item, item_text, forms, span, k))
-    held = materialise(fingerprints(documents.dropna(subset=[document]), document, text, forms, span, k, marks(tested, most_bits)))
+    documents, wanted = documents.dropna(subset=[document]), tested
+    if tested.count() * 4 > most_bits:
+        both = fingerprints(documents, document, text, forms, span, k, marks(tested, most_bits), alone=True).distinct()
+        wanted = materialise(both.join(tested.select("fingerprint").distinct(), "fingerprint", "left_semi"))
+    held = materialise(fingerprints(documents, document, text, forms, span, k, marks(wanted, most_bits)))
     right = tested.select(F.col("item").alias("tested"), "fingerprint", F.col("words").alias("wanted"))
     # a text that repeats itself sends the same words once
     met = key_join(held.select("item", "fingerprint", "words").distinct(), right, ["fingerprint"], few=few, shard_by=["item"])

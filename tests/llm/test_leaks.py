@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from shelfmark.llm.leaks import BITMAP, WordForms, leaks, winnow
+from shelfmark.llm.leaks import BITMAP, WordForms, fingerprints, leaks, winnow
 from shelfmark.llm.lookalikes import Looks
 from test_lookalikes import disguise
 
@@ -46,6 +46,20 @@ def test_against_brute_force(spark, few, most_bits):
     assert found(spark, docs, items, few=few, most_bits=most_bits) == brute(docs, items, 12)
 
 
+def test_more_fingerprints_of_items_than_bits(spark):
+    rng = random.Random(3)
+    words = [f"v{n}" for n in range(400)]
+    items = [(n, " ".join(rng.choices(words, k=70))) for n in range(500)]
+    docs = [(n, " ".join(rng.choices(words, k=30) + rng.choice(items)[1].split()[20 : 20 + rng.choice([11, 12, 30])] + rng.choices(words, k=30))) for n in range(60)]
+    got = found(spark, docs, items, few=0, most_bits=BITMAP)
+    assert got == brute(docs, items, 12) and 20 < len(got) < 60
+    forms = WordForms(Looks.of(spark))
+    df = spark.createDataFrame(items, "item long, text string")
+    assert fingerprints(df, "item", "text", forms, 12, 8).count() * 4 > BITMAP
+    alone = {r.fingerprint for r in fingerprints(df, "item", "text", forms, 12, 8, alone=True).collect()}
+    assert alone == {r.fingerprint for r in fingerprints(df, "item", "text", forms, 12, 8).collect()}
+
+
 def test_span_at_the_ends_and_one_word_short(spark):
     item = " ".join(WORDS[:40])
     docs = [(1, " ".join(WORDS[:12])), (2, " ".join(WORDS[:11])), (3, " ".join(["x", *WORDS[28:40]])), (4, " ".join([*WORDS[5:10], "x", *WORDS[10:17]])), (5, " ".join(WORDS[5:17]) * 1)]
